@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op01_repetition",)
+MODULES = ("op01_repetition", "op02_sentencepiece")
 
 
 def _gather(name: str) -> dict:
