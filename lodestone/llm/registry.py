@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op01_repetition", "op02_sentencepiece", "op03_toxicity", "op04_line_dedup", "op05_html", "op07_secrets", "op08_substring", "op09_mixing", "op10_minhash")
+MODULES = ("op01_repetition", "op02_sentencepiece", "op03_toxicity", "op04_line_dedup", "op05_html", "op06_ann", "op07_secrets", "op08_substring", "op09_mixing", "op10_minhash")
 
 
 def _gather(name: str) -> dict:
