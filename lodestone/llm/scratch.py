@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of its own where that is unset, as in tests on one machine."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        current = sc._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir isn't set; it must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="lodestone-")
-        sc.setCheckpointDir(folder)
-    return folder
+from lodestone.sources.workspace import shared_folder
 
 
 class Scratch:
@@ -28,7 +14,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{shared(spark)}/lodestone-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/lodestone-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df; what is returned reads the table."""
