@@ -18,7 +18,7 @@ Both give the ids of the sentencepiece library. Characters without a piece becom
 the unknown id in models without them. Units are told apart by 64-bit hashes.
 
 Defined results: null text gives null ids, 0 tokens and null for the round trip; empty text gives no ids;
-one row for each input row; other columns are ignored. Decoding puts U+FFFD for bytes
+one row for each input row; other columns are ignored, and a column of `keep` with the name of a result gives way to it. Decoding puts U+FFFD for bytes
 that aren't UTF-8. A text with the character U+2581 itself decodes with a space there, as in the
 library. Models with user-defined pieces or a normaliser other than identity are refused.
 """
@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import arrays as A
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+RESULTS = ("n_tokens", "ids", "exact")
 SPACE, LONG, CACHED = 0x2581, 256, 1_000_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
@@ -339,9 +340,10 @@ def _read(path: str) -> bytes:
 
 def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str = MODEL) -> DataFrame:
     """The columns of `keep`, then n_tokens, ids and exact: whether the decoded ids are the text."""
+    keep = tuple(c for c in keep if c not in RESULTS)
     raw = docs.sparkSession.sparkContext.broadcast(_read(model))  # the size of the model file
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
-    names = [*keep, "n_tokens", "ids", "exact"]
+    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *(f"`{c}`" for c in keep))
+    names = [*keep, *RESULTS]
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m, text = _model(raw.value), b.column(0)
@@ -360,8 +362,9 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
 
 def decode(rows: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), model: str = MODEL) -> DataFrame:
     """The columns of `keep`, then text; null ids give null text."""
+    keep = tuple(c for c in keep if c != "text")
     raw = rows.sparkSession.sparkContext.broadcast(_read(model))
-    rows = rows.select(F.col(ids_col).cast("array<int>").alias("__ids"), *keep)
+    rows = rows.select(F.col(ids_col).cast("array<int>").alias("__ids"), *(f"`{c}`" for c in keep))
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         lists = b.column(0)

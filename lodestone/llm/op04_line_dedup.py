@@ -10,7 +10,7 @@ a copied document is no boilerplate, and near-dedup has to see it.
 
 Defined results: ids count documents, so repeated rows of one id are one document, and all rows without an id
 together are one; a null text stays null with 0 lines, an empty one has one blank line; each input row
-gives one row; other columns, whatever their names, are carried along; an empty table gives no rows.
+gives one row; other columns are carried along, but for one with the name of a count; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
     n_lines = F.coalesce(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     text = F.coalesce(F.array_join("__kept", "\n"), F.col(text_col))
     dropped = F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).cast("long")
-    wanted = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    wanted = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
     return out.select(*wanted, *([n_lines.alias("n_lines"), dropped.alias("n_dropped")] if counts else []))
 
 

@@ -426,7 +426,8 @@ def render(page: str | None) -> str | None:
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The columns of `keep`, then text: what each page shows."""
-    rows = pages.select(F.col(html_col).cast("string").alias("__html"), *keep)
+    keep = tuple(c for c in keep if c != "text")
+    rows = pages.select(F.col(html_col).cast("string").alias("__html"), *(f"`{c}`" for c in keep))
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         text = pa.array([render(p) for p in b.column(0).to_pylist()], pa.string())
