@@ -1,7 +1,7 @@
 """Snowball stemmers, written from the published descriptions of the algorithms.
 
 `stemmer(language)` gives a function from a lower-case word to its stem. Vietnamese and names that no one knows
-use English. Languages of which the algorithm isn't written yet raise NotImplementedError.
+use English; "none" leaves words as they are. Languages of which the algorithm isn't written yet raise NotImplementedError.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ def language_name(name: str | None) -> str:
     """The language that a name or code means, in any case; English if none does."""
     low = (name or "").lower()
     low = CODES.get(low, low)
-    return low if low in WRITTEN + MISSING else "english"
+    return low if low in (*WRITTEN, *MISSING, "none") else "english"
 
 
 def _ends(w: str, suffixes: Iterable[str]) -> str:
@@ -688,7 +688,7 @@ def russian(w: str) -> str:
     return w
 
 
-_ALL: dict[str, Callable[[str], str]] = {n: globals()[n] for n in WRITTEN}
+_ALL: dict[str, Callable[[str], str]] = {n: globals()[n] for n in WRITTEN} | {"none": str}
 
 
 @lru_cache(64)

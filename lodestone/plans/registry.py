@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("lodestone.plans.vector", "lodestone.plans.terms", "lodestone.plans.index", "lodestone.plans.state")
 
 
 def _gather(name: str) -> dict:

@@ -21,6 +21,10 @@ class Files:
         p, fs = self._at(path)
         return fs.exists(p)
 
+    def is_file(self, path: str) -> bool:
+        p, fs = self._at(path)
+        return fs.exists(p) and fs.getFileStatus(p).isFile()
+
     def names(self, folder: str) -> list[str]:
         p, fs = self._at(folder)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.sources.collection import Collection
+from lodestone.sources.files import Files
 
 
 def apply_batch(collection: Collection, ops: DataFrame, batch: int, stream: str = "stream") -> None:
@@ -29,7 +30,12 @@ def apply_batch(collection: Collection, ops: DataFrame, batch: int, stream: str
 
 
 def operations(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    """The Parquet files of a folder, or one file, as a stream."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if Files(spark).is_file(folder):
+        folder, _, name = folder.rpartition("/")
+        reader = reader.option("pathGlobFilter", name)
+    return reader.parquet(folder)
 
 
 def ingest(collection: Collection, ops: DataFrame, checkpoint: str, stream: str = "stream", available_now: bool = True) -> StreamingQuery:
