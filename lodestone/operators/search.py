@@ -54,7 +54,7 @@ def top_k_batch(docs: DataFrame, queries: DataFrame, k: int, metric: Metric = "l
     else:
         rows = queries.collect()
         names = [r.query_id for r in rows]
-        table = np.array([r.vector for r in rows], np.float64).reshape(len(rows), -1)
+        table = np.array([r.vector for r in rows], np.float64).reshape(len(rows), -1 if rows else 0)
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -224,7 +224,7 @@ class Collection:
         # a number for each row: within its partition after those of the partitions before
         ops = ops.withColumn("__order", order).sort("__order")
         tagged = ops.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
-        folder = f"{self.root}/log/incoming-{uuid.uuid4().hex}"
+        folder = f"{self.root}/incoming/{uuid.uuid4().hex}"
         bad = F.when((F.col("op") == "insert") & ((F.size("vector") != d) | F.col("vector").isNull()), F.raise_error(F.lit(f"a vector of {d} numbers is needed"))).otherwise(F.col("vector"))
         tagged.withColumn("vector", bad).write.parquet(folder)
         stored = self.spark.read.parquet(folder)
