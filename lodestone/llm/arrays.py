@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CHUNK = 1 << 20
+CHUNK, BATCH = 1 << 20, 8 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _powers: dict[str, np.ndarray] = {}
@@ -113,11 +113,21 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def small_batches(df: DataFrame) -> None:
+    """Has the session hand texts to Python in batches of BATCH bytes, if it would take larger ones. A longer text is a batch of its own."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(key)).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH:
+        conf.set(key, str(BATCH))
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """`fn` over every Arrow batch; each makes any number of batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield from fn(b)
+        pa.default_memory_pool().release_unused()
 
+    small_batches(df)
     return df.mapInArrow(run, schema)

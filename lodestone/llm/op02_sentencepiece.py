@@ -39,7 +39,7 @@ from lodestone.llm import arrays as A
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RESULTS = ("n_tokens", "ids", "exact")
-SPACE, LONG, CACHED = 0x2581, 256, 1_000_000
+SPACE, LONG, CACHED = 0x2581, 256, 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 

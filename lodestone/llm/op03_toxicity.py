@@ -22,7 +22,8 @@ Case is ignored. A symbol of *@$!# between two letters counts as a letter ("id*o
 script counts as one letter.
 
 Defined results: null and empty texts have no hit and score 0; each input row gives one row, repeated
-rows and null ids too; other columns are ignored; an empty table gives no rows.
+rows and null ids too; other columns are ignored, and a column of `keep` with the name of a result gives way to it;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import arrays as A
@@ -52,6 +53,7 @@ ALLOWED = frozenset(
 )
 REPORTING = frozenset("said says say called calls calling call quote quoted quotes quoting word words term terms insult insults slur slurs means meaning meant definition defined reported writes wrote".split())
 SECOND = frozenset("you your yours youre yourself yourselves u ur du dich dir dein deine tu toi ton te eres usted vous votre".split())
+RESULTS = ("n_hits", "n_misspelled", "n_quoted", "score", "toxic")
 EDITS = (1.0, 0.6, 0.35)
 WINDOW, THRESHOLD = 8, 1.0
 QUOTED, REPORTED, ADDRESSED, CROWDED = 0.2, 0.5, 1.3, 1.2
@@ -269,26 +271,31 @@ def own_words(docs: DataFrame, text_col: str = "text", lexicon: dict[str, float]
     return frozenset(form for (form, term), n in found.items() if form != term and form.isalpha() and n >= found.get((term, term), 0))
 
 
-def toxicity(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), lexicon: dict[str, float] | None = None, allowed: frozenset[str] = ALLOWED, threshold: float = THRESHOLD) -> DataFrame:
-    """The columns of `keep`, n_hits, n_misspelled, n_quoted, score and toxic, for each row of docs."""
+def scores(docs: DataFrame, text_col: str = "text", lexicon: dict[str, float] | None = None, allowed: frozenset[str] = ALLOWED) -> Column:
+    """A column over docs: the struct of n_hits, n_misspelled, n_quoted and score. Only the text goes to Python, and only figures come back."""
     lexicon = LEXICON if lexicon is None else {t.lower(): w for t, w in lexicon.items()}
     if not all(t.isascii() and t.isalpha() for t in lexicon):
         raise ValueError("terms are of ASCII letters")
     allowed = frozenset(allowed) | own_words(docs, text_col, lexicon)
     table = docs.sparkSession.sparkContext.broadcast((automaton(tuple(lexicon)), np.array(list(lexicon.values()), np.float64)))  # grows with the lexicon alone
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
-    names = [*keep, "n_hits", "n_misspelled", "n_quoted", "score"]
 
-    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("n_hits long, n_misspelled long, n_quoted long, score double")
+    def judged(text: pa.Array) -> pa.Array:
         m, weights = table.value
-        data, off = A.utf8(b.column(0))
-        for i, j in A.chunks(off):
-            found = judge(data[off[i] : off[j]], off[i : j + 1] - off[i], m, weights, allowed)
-            yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(1, b.num_columns)), *map(pa.array, found)], names)
+        data, off = A.utf8(text)
+        parts = [judge(data[off[i] : off[j]], off[i : j + 1] - off[i], m, weights, allowed) for i, j in A.chunks(off)]
+        found = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        return pa.StructArray.from_arrays([pa.array(x) for x in found], ["n_hits", "n_misspelled", "n_quoted", "score"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
-    out = A.map_batches(rows, run, ", ".join([*kinds, "n_hits long, n_misspelled long, n_quoted long, score double"]))
-    return out.withColumn("toxic", F.col("score") >= threshold)
+    A.small_batches(docs)
+    return judged(F.col(f"`{text_col}`").cast("string"))
+
+
+def toxicity(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), lexicon: dict[str, float] | None = None, allowed: frozenset[str] = ALLOWED, threshold: float = THRESHOLD) -> DataFrame:
+    """The columns of `keep`, n_hits, n_misspelled, n_quoted, score and toxic, for each row of docs."""
+    keep = tuple(c for c in keep if c not in RESULTS)
+    rows = docs.select(*(f"`{c}`" for c in keep), scores(docs, text_col, lexicon, allowed).alias("__found"))
+    return rows.select(*(f"`{c}`" for c in keep), "__found.*", (F.col("__found.score") >= threshold).alias("toxic"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
