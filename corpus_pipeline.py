@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.op02_sentencepiece import encode
-from lodestone.llm.op03_toxicity import toxicity
+from lodestone.llm.op03_toxicity import THRESHOLD, scores
 from lodestone.llm.op04_line_dedup import line_dedup
 from lodestone.llm.op09_mixing import mix
 from lodestone.llm.op10_minhash import near_copies
@@ -26,7 +26,7 @@ from lodestone.llm.scratch import Scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity(docs, keep=tuple(docs.columns)).filter(~F.col("toxic")).select(*docs.columns)
+    return docs.withColumn("__toxicity", scores(docs)).filter(F.col("__toxicity.score") < THRESHOLD).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    plan = mix(docs).select("slot", F.col("source").alias("__source"), F.col("doc_id").alias("__id"))
+    plan = mix(docs).select(F.col("slot").alias("__slot"), F.col("source").alias("__source"), F.col("doc_id").alias("__id"))
     same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.coalesce(docs["source"], F.lit("")) == F.col("__source"))
-    return docs.join(plan, same).repartitionByRange("slot").sortWithinPartitions("slot", "doc_id").select(*docs.columns)
+    return docs.join(plan, same).repartitionByRange("__slot").sortWithinPartitions("__slot", "doc_id").select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
