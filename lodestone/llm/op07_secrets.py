@@ -50,7 +50,7 @@ _NEW = re.compile(r"(?:new|await|mut|const)[ \t]+")
 _ELSE = re.compile(r"[ \t]*(?:\bor\b|\|\||\?\?|\?:)[ \t]*")
 _PREFIX = re.compile(r"(?:[rRbBuUfF@$]{0,2})(\"\"\"|'''|[\"'`])")
 _NUMBER = re.compile(r"\d[\w.]*")
-_BARE = re.compile(r"[^\s\"'<>(){}\[\],;#]+")
+_BARE = re.compile(r"(?:\$\{\w+\}|[^\s\"'<>(){}\[\],;#])+")
 _HOLE = re.compile(r"\$?\{([A-Za-z_]\w*)\}|\$([A-Za-z_]\w*)|%\(([A-Za-z_]\w*)\)s")
 _XML = re.compile(r"<([\w:.-]+)(?:\s[^<>]*)?>([^<>\n]+)</\1>")
 _FLAG = re.compile(r"--([\w-]+)[ \t]+(?!-)(?:\"([^\"\n]*)\"|'([^'\n]*)'|([^\s\"'<>|;&]+))")
