@@ -10,9 +10,13 @@ from lodestone.functions.columns import ColumnLike, col
 from lodestone.functions.stemmers import language_name, stemmer
 
 
+#: The characters that Unicode calls white space, as a class; much faster to match than by their property.
+WHITE_SPACE = r"[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def tokens(text: ColumnLike) -> Column:
     """The parts between Unicode white space, punctuation kept; null gives no tokens."""
-    parts = F.split(F.coalesce(col(text).cast("string"), F.lit("")), r"(?U)\s+")
+    parts = F.split(F.coalesce(col(text).cast("string"), F.lit("")), WHITE_SPACE)
     return F.filter(parts, lambda t: t != "")
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.operators.ann import cluster_count
 
@@ -117,18 +118,52 @@ def build_centroids(docs: DataFrame, centroids: int, max_list: int | None = None
         tagged = docs.join(labels(docs, found), "doc_id")
         sizes = {r.label: r["count"] for r in tagged.groupBy("label").count().collect()}
         keep = [found[i] for i in range(len(found)) if sizes.get(i, 0) and not (max_list and sizes[i] > max_list)]
-        grown = list(keep)
-        split = False
-        for label, size in sorted(sizes.items()):
-            if max_list and size > max_list:
-                parts = kmeans(sample(tagged.filter(F.col("label") == label).select("doc_id", "vector"), training_rows), math.ceil(size / max_list) + 1, max_iterations, penalty)
-                parts = np.unique(parts, axis=0)
-                split |= len(parts) > 1
-                grown += list(parts)
+        long = {label: size for label, size in sizes.items() if max_list and size > max_list}
+        if not long:
+            return np.array(keep)
+        parts = _split(tagged.filter(F.col("label").isin(list(long))), long, max_list, training_rows, max_iterations, penalty)
+        grown, split = list(keep), False
+        for label in sorted(long):
+            grown += parts[label]
+            split |= len(parts[label]) > 1
         found = np.array(grown)
         if not split:  # nothing is too long, or only equal vectors are
             return found
 
 
+def _split(tagged: DataFrame, sizes: dict[int, int], max_list: int, rows: int, max_iterations: int, penalty: float) -> dict[int, list[np.ndarray]]:
+    """New centroids in place of each label's, from `rows` of its vectors; all labels at once, each in one task."""
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = tagged.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= rows).select("label", F.col("vector").cast("array<double>").alias("vector"), F.col("__r").alias("r"))
+
+    def cluster(t: pa.Table) -> pa.Table:
+        label = t["label"][0].as_py()
+        x = np.array(t["vector"].to_pylist(), np.float64)[np.argsort(t["r"].to_numpy())]
+        found = _lloyd(x, min(len(x), math.ceil(sizes[label] / max_list) + 1), max_iterations, penalty)
+        return pa.table([pa.array([label] * len(found), pa.int32()), pa.array(list(found), pa.list_(pa.float64()))], ["label", "centroid"])
+
+    out: dict[int, list[np.ndarray]] = {label: [] for label in sizes}
+    for r in chosen.groupBy("label").applyInArrow(cluster, "label int, centroid array<double>").collect():  # centroids alone
+        out[r.label].append(np.array(r.centroid))
+    return out
+
+
+def _lloyd(x: np.ndarray, k: int, max_iterations: int, penalty: float) -> np.ndarray:
+    """K-means of vectors in memory, from the first k distinct ones."""
+    _, first = np.unique(x, axis=0, return_index=True)
+    c = x[np.sort(first)[:k]]
+    sizes = np.zeros(len(c))
+    for _ in range(max_iterations):
+        at = costs(x, c, sizes, penalty).argmin(1)
+        sizes = np.bincount(at, minlength=len(c)).astype(np.float64)
+        total = np.zeros_like(c)
+        np.add.at(total, at, x)
+        fresh = np.where(sizes[:, None] > 0, total / np.maximum(sizes, 1)[:, None], c)
+        if np.array_equal(fresh, c):
+            break
+        c = fresh
+    return c[sizes > 0]
+
+
 def table(spark: SparkSession, centroids: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centroids)], "centroid_id int, centroid array<double>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +22,11 @@ def terms_of(docs: DataFrame, path: str, language: str | Column | None = "none")
     return docs.withColumn(f"terms_{path}", found)
 
 
-def postings(docs: DataFrame, paths: Sequence[str], keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The distinct (keys, term) of docs with `terms_<path>` columns."""
+def postings(docs: DataFrame, paths: Sequence[str], keys: Sequence[str] = ("doc_id",), only: Iterable[str] | None = None) -> DataFrame:
+    """The distinct (keys, term) of docs with `terms_<path>` columns; with `only`, those of these terms."""
     terms = F.concat(*(_named(p) for p in paths))
+    if only is not None:
+        terms = F.array_intersect(terms, F.array(*map(F.lit, sorted(only))).cast("array<string>"))
     return docs.select(*keys, F.explode(terms).alias("term")).distinct()
 
 

@@ -55,7 +55,7 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spann_topk_fixed_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The k best of the lists of each vector's nearest centroids, for every vector."""
-    return ann.search(_queries(spark, sf_dir), centroids(spark, sf_dir), _lists(spark, sf_dir), K, PROBES, 0.1)
+    return ann.search(_queries(spark, sf_dir), centroids(spark, sf_dir), _lists(spark, sf_dir), K, PROBES, 0.1, many=True)
 
 
 def ivf_topk_listings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.codecs import decode_list, encode_list
 from lodestone.functions.text import lower_tokens
 from lodestone.operators import search
-from lodestone.operators.filters import And, Contains, DocIds, Filter, Ids, NotContains, Or, Schema, condition, matches, restrict
+from lodestone.operators.filters import And, Contains, DocIds, Filter, Ids, NotContains, Or, Schema, condition, matches, restrict, used_terms
 from lodestone.operators.terms import postings, term_statistics, terms_of
 from lodestone.plans.tables import QUERY_SQL, l2_squared_sql, query_vector, read
 
@@ -61,7 +61,8 @@ FILTERS: dict[str, tuple[Filter, str]] = {
 def _by_index(f: Filter):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         everything = read(spark, sf_dir, "documents").select("doc_id")
-        return matches(f, index(spark, sf_dir), everything, SCHEMA).distinct()
+        wanted = postings(indexed(spark, sf_dir), ["text", "source"], only=used_terms(f, SCHEMA))
+        return matches(f, wanted, everything, SCHEMA).distinct()
 
     return run
 
