@@ -37,7 +37,7 @@ def stems(words: ColumnLike, language: ColumnLike) -> Column:
 
 def text_terms(text: ColumnLike, language: ColumnLike) -> Column:
     """The distinct stems of a text's tokens, sorted."""
-    return F.array_sort(F.array_distinct(stems(lower_tokens(text), language)))
+    return F.array_sort(F.array_distinct(stems(F.array_distinct(lower_tokens(text)), language)))
 
 
 def keyword_terms(value: ColumnLike) -> Column:

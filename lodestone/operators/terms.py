@@ -18,7 +18,7 @@ def terms_of(docs: DataFrame, path: str, language: str | Column | None = "none")
     elif isinstance(language, str) and language_name(language) == "none":
         found = F.array_distinct(lower_tokens(path))
     else:
-        found = F.array_distinct(stems(lower_tokens(path), F.lit(language) if isinstance(language, str) else language))
+        found = F.array_distinct(stems(F.array_distinct(lower_tokens(path)), F.lit(language) if isinstance(language, str) else language))
     return docs.withColumn(f"terms_{path}", found)
 
 
