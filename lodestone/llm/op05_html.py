@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -272,15 +273,18 @@ class Builder:
 
     def __init__(self) -> None:
         self.stack: list[str] = []
+        self.count: Counter[str] = Counter()  # of open elements by name, so that what isn't open isn't looked for
         self.to = Renderer()
 
     def _pop_to(self, i: int) -> None:
         for _ in range(len(self.stack) - i):
-            self.stack.pop()
+            self.count[self.stack.pop()] -= 1
             self.to.end()
 
     def _close(self, names: frozenset[str] | tuple[str, ...], wall: frozenset[str]) -> bool:
         """Closes the innermost of the names, and all in it, unless a wall is met before."""
+        if not any(self.count[n] for n in names):
+            return False
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i] in names:
                 self._pop_to(i)
@@ -309,7 +313,7 @@ class Builder:
             self._close(("option", "optgroup") if name == "optgroup" else ("option",), WALL | {"select"})
         elif name in CELLS:
             self._close(CELLS, frozenset(("table",)))
-            if "table" in self.stack and not self._inside("tr"):
+            if self.count["table"] and not self._inside("tr"):
                 self._open("tr", {})
         elif name == "tr":
             self._close(("tr", "caption"), frozenset(("table",)))
@@ -333,6 +337,7 @@ class Builder:
 
     def _open(self, name: str, attr: dict[str, str]) -> None:
         self.stack.append(name)
+        self.count[name] += 1
         self.to.start(name, attr)
 
     def end(self, name: str) -> None:
@@ -348,13 +353,14 @@ class Builder:
             self._close((name,), frozenset(("table",)) if name != "table" else frozenset())
         elif name in BLOCK or name in WALL:
             self._close((name,), WALL - {name})
-        else:
+        elif self.count[name]:
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i] == name:
                     # a hidden inline element ends with all that is in it; others leave the blocks they straddle open
                     if self.to.open[i][2] or not any(n in BLOCK for n in self.stack[i + 1 :]):
                         self._pop_to(i)
                     else:
+                        self.count[name] -= 1
                         self.stack[i] = self.to.open[i][0] = ""
                     return
                 if self.stack[i] in WALL:
