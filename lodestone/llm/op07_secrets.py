@@ -11,7 +11,7 @@ Each name-literal pair is scored: the weight of the name's sensitive parts (came
 `field`, `name`, `url` or `length` make it harmless) times a factor of the literal, its bits of entropy over what is due for such a name, and
 nearly 0 for placeholders. Pairs of `threshold` or more are secrets. Known key formats count as fully random.
 
-Only documents in which a stem of a sensitive name occurs are lexed; without one no pair can score. Lexing is linear in the text.
+Only documents in which a stem of a sensitive name occurs are lexed; the stems come from the tables of weights, so without one no pair can score. Lexing is linear in the text.
 
 Defined results: null and empty texts have no secrets; each row is scanned for itself, repeated rows and null ids too;
 places are in characters; the literal itself isn't returned, but its place, length and sha256;
@@ -33,10 +33,20 @@ from pyspark.sql import functions as F
 from lodestone.llm import arrays as A
 
 THRESHOLD = 0.5
-STEMS = "(?i)passw|passphrase|pwd|secret|token|key|credential|auth|bearer|signature|signing|private|dsn|conn"
 PARTS = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "pass": 0.8, "passphrase": 1.0, "passcode": 0.8, "secret": 1.0, "secrets": 0.9, "token": 0.9, "tokens": 0.7, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.7, "authorization": 0.9, "bearer": 0.9, "signature": 0.6, "dsn": 0.6, "key": 0.3}
 PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("secret", "key"): 1.0, ("signing", "key"): 0.9, ("encryption", "key"): 0.9, ("account", "key"): 0.9, ("shared", "key"): 0.8, ("auth", "key"): 0.9, ("connection", "string"): 0.8, ("conn", "str"): 0.8}
 GLUED = re.compile(r"(api_?key|access_?key|secret_?key|private_?key|password|passwd|passphrase|secret|token|credential)", re.I)
+
+
+def _stems() -> str:
+    """What occurs in any text with a name of some weight: a part, one of a pair, or the letters of a glued form, which separators may part."""
+    whole = {*PARTS, *(a for a, b in PAIRS if a not in PARTS and b not in PARTS)}
+    whole = {s for s in whole if not any(o in s for o in whole - {s})}
+    glued = {s.replace("_?", "") for s in GLUED.pattern.strip("()").split("|")}
+    return "(?i)" + "|".join([*sorted(whole), *("[^a-zA-Z0-9]*+".join(s) for s in sorted(glued))])
+
+
+STEMS = _stems()
 HARMLESS = frozenset("name names field fields label url uri path file filename dir type types length len size min max count limit hint prompt placeholder title regex pattern policy expiry expires expiration ttl id ids index column public format prefix suffix header error message msg description required enabled valid strength rules test mock".split())
 PLACEHOLDER = re.compile(r"(?i)^(?:changeme|change[_-]?me|example|sample|dummy|none|null|nil|undefined|true|false|todo|tbd|fixme|redacted|hidden|masked|secret|password|passwd|token|key|string|str|text|value|your|test|foo|bar|[x*.•_-]+|[<\[{(%$].*[>\]})%]?)$|(?i:your[_ -]|insert[_ -]|replace[_ -]|<[^>]+>|\$\{|\{\{|xxxx|\.\.\.)")
 FORMATS = re.compile(r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{30,}|xox[abprs]-[\w-]{10,}|[sr]k_(?:live|test)_\w{10,}|AIza[\w-]{30,}|eyJ[\w-]+\.eyJ[\w-]+\.[\w-]*|-----BEGIN [A-Z ]*PRIVATE KEY-----)")
