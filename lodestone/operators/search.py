@@ -85,11 +85,12 @@ def top_k_each_user(docs: DataFrame, query: Sequence[float], k: int, metric: Met
     return best(docs.select("user_id", "doc_id", distance("vector", vector(list(query)), metric).alias("score")), k, ("user_id",))
 
 
-def term_search(matched: DataFrame, limit: int, doc_id: str = "doc_id") -> DataFrame:
-    """The lowest distinct ids of the matched documents."""
-    if limit <= 0:
+def term_search(matched: DataFrame, limit: int | None, doc_id: str = "doc_id") -> DataFrame:
+    """The lowest distinct ids of the matched documents; all of them if limit is None."""
+    if limit is not None and limit <= 0:
         raise ValueError("limit must be positive")
-    return matched.select(doc_id).distinct().orderBy(doc_id).limit(limit)
+    found = matched.select(doc_id).distinct().orderBy(doc_id)
+    return found if limit is None else found.limit(limit)
 
 
 def gather(shards: Sequence[DataFrame], k: int) -> DataFrame:

@@ -109,7 +109,7 @@ def collection_merged_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
         c.insert(d.filter(part))
         c.flush()
     c.merge([r.name for r in c.segments().collect()])
-    return c.snapshot().term_search(And((Contains("text", "the of"), Contains("source", "src3"))), 100000, [0])
+    return c.snapshot().term_search(And((Contains("text", "the of"), Contains("source", "src3"))), None, [0])
 
 
 def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:

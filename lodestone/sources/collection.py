@@ -155,7 +155,7 @@ class Snapshot:
         found = ann.search(query, centroids.filter(mine), postings.filter(mine), k, probes or k, ratio, keys, self.collection.config.metric, matched)
         return found.orderBy("score", "doc_id").select("doc_id", "score")
 
-    def term_search(self, where: Filter, limit: int, users: Sequence) -> DataFrame:
+    def term_search(self, where: Filter, limit: int | None, users: Sequence) -> DataFrame:
         return search.term_search(self.matched(where, users), limit)
 
 
