@@ -6,7 +6,7 @@ table, once, on the driver. A batch runs all its words through the table togethe
 of every word at a time; most words are dead after three or four. Terms of up to 4 letters must match
 exactly, of up to 7 may have one edit, longer ones two. Words of their own that happen to lie near a
 term are no misspellings: those of ALLOWED, and every form in letters alone that stands in as many
-documents as its term or more. A first pass counts that over all documents; its result is within the finite language
+distinct texts as its term or more. A first pass counts that over all documents; its result is within the finite language
 of the automaton, however large the corpus.
 
 Each hit then gets a score from its window of WINDOW words to either side:
@@ -29,6 +29,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -246,28 +247,30 @@ def judge(data: np.ndarray, off: np.ndarray, m: Automaton, weights: np.ndarray,
 
 
 def forms(docs: DataFrame, text_col: str = "text", lexicon: dict[str, float] = LEXICON) -> DataFrame:
-    """form, term and n_docs: in how many rows of docs a word stands that the automaton accepts."""
+    """form, term and n_texts: in how many distinct texts of docs a word stands that the automaton accepts."""
     table = docs.sparkSession.sparkContext.broadcast(automaton(tuple(lexicon)))
     terms = list(lexicon)
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, off = A.utf8(b.column(0))
-        seen: dict[tuple[str, str], int] = {}
+        seen: set[tuple[str, str, int]] = set()
         for i, j in A.chunks(off):
-            part = data[off[i] : off[j]]
-            classes, start, end, first = split(part, off[i : j + 1] - off[i])
+            part, here = data[off[i] : off[j]], off[i : j + 1] - off[i]
+            classes, start, end, first = split(part, here)
             which, term, _ = table.value.run(classes, start, end)
             doc = np.searchsorted(first, which, "right") - 1
-            for key in {(d, part[start[w] : end[w]].tobytes().lower().decode("utf-8", "replace"), t) for d, w, t in zip(doc.tolist(), which.tolist(), term.tolist())}:
-                seen[key[1], terms[key[2]]] = seen.get((key[1], terms[key[2]]), 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["form", "term", "n_docs"])
+            texts = {d: int.from_bytes(hashlib.blake2b(part[here[d] : here[d + 1]].tobytes(), digest_size=8).digest(), "little", signed=True) for d in set(doc.tolist())}
+            seen |= {(part[start[w] : end[w]].tobytes().lower().decode("utf-8", "replace"), terms[t], texts[d]) for d, w, t in zip(doc.tolist(), which.tolist(), term.tolist())}
+        rows = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["form", "term", "hash"])
 
-    return A.map_batches(docs.select(F.col(text_col).cast("string").alias("__text")), run, "form string, term string, n_docs long").groupBy("form", "term").agg(F.sum("n_docs").alias("n_docs"))
+    found = A.map_batches(docs.select(F.col(text_col).cast("string").alias("__text")), run, "form string, term string, hash long")
+    return found.distinct().groupBy("form", "term").agg(F.count("*").alias("n_texts"))
 
 
 def own_words(docs: DataFrame, text_col: str = "text", lexicon: dict[str, float] = LEXICON) -> frozenset[str]:
-    """The accepted forms that stand in as many documents as the term they are near, or more."""
-    found = {(r.form, r.term): r.n_docs for r in forms(docs, text_col, lexicon).collect()}  # bounded by the automaton's language
+    """The accepted forms that stand in as many distinct texts as the term they are near, or more."""
+    found = {(r.form, r.term): r.n_texts for r in forms(docs, text_col, lexicon).collect()}  # bounded by the automaton's language
     return frozenset(form for (form, term), n in found.items() if form != term and form.isalpha() and n >= found.get((term, term), 0))
 
 

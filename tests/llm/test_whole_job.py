@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from lodestone.llm import op03_toxicity as tox
 from lodestone.llm import op07_secrets as sec
 
 LITERAL = "Xk29!fQz81"
@@ -23,3 +24,9 @@ def test_secrets_finds_what_scan_finds(spark):
     want = [(i, s[1]) for i, t in enumerate(texts) for s in sec.scan(t)]
     got = sec.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.start) for r in got) == want and {len(texts) - 1, len(texts) - 2} <= {i for i, _ in want}
+
+
+def test_copies_of_a_misspelling_do_not_excuse_it(spark):
+    texts = ["you morron, you morron"] * 5 + ["a moron", "moron again"]
+    got = {r.doc_id: r for r in tox.toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i].n_misspelled == 2 and got[i].toxic for i in range(5))
