@@ -1,8 +1,8 @@
 """A corpus from documents: five stages, each written as Parquet and read again as the next one's documents.
 
 1. toxicity: documents that score as toxic go.
-2. line dedup: lines of more than 10 documents go. A document that would lose all its lines stays, as
-   a copy of whole documents; near-dedup decides on it.
+2. line dedup: lines of more than 10 documents go, where a group of near copies counts as one document. A document
+   that would lose all its lines stays. Near-dedup decides on copies.
 3. MinHash near-dedup: of each group of near copies the document of lowest id stays. Documents
    without an id or without words are no copies.
 4. mixing: documents in the order of the slots that the target weights give to their sources; what a source has
@@ -30,7 +30,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup(docs, keep_whole=True, counts=False)
+    disk = Scratch(spark)
+    copies = disk.keep(near_copies(docs), "copies")
+    out = line_dedup(docs, keep_whole=True, counts=False, groups=copies)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

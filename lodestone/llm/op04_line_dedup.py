@@ -6,7 +6,8 @@ and what is over the threshold goes back to the documents it stands in, whose li
 are shuffled for the counting; the texts move once, to meet their own documents' lists.
 
 Blank lines are never counted or dropped. With `keep_whole`, a document that would lose every line stays as it is:
-a copied document is no boilerplate, and near-dedup has to see it.
+a copied document is no boilerplate, and near-dedup has to see it. With `groups`, near copies count once for a line
+that they share, for the same reason: what a group of copies has in common is its text.
 
 Defined results: ids count documents, so repeated rows of one id are one document, and all rows without an id
 together are one; a null text stays null with 0 lines, an empty one has one blank line; each input row
@@ -29,13 +30,18 @@ def _hash(line: Column) -> Column:
     return F.xxhash64(normalised(line))
 
 
-def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep_whole: bool = False, counts: bool = True) -> DataFrame:
-    """docs with the lines over the threshold taken out of text; with `counts`, n_lines and n_dropped after its columns."""
+def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep_whole: bool = False, counts: bool = True, groups: DataFrame | None = None) -> DataFrame:
+    """docs with the lines over the threshold taken out of text; with `counts`, n_lines and n_dropped after its columns. groups has doc_id and group_id."""
     lines = docs.select(F.struct(id_col).alias("__key"), F.explode(F.split(text_col, "\n")).alias("__line"))
     blank = _hash(F.lit(""))
     hashes = lines.select("__key", _hash(F.col("__line")).alias("__h")).filter(F.col("__h") != blank).distinct()
     often = hashes.groupBy("__h").agg(F.count("*").alias("__n")).filter(F.col("__n") > threshold).select("__h")
-    lists = hashes.join(often, "__h").groupBy("__key").agg(F.collect_list("__h").alias("__drop"))
+    hits = hashes.join(often, "__h")
+    if groups is not None:
+        member = groups.select(F.struct(F.col("doc_id").alias(id_col)).alias("__key"), F.struct(F.col("group_id").alias(id_col)).alias("__group"))
+        units = hits.join(member, "__key", "left").groupBy("__h").agg(F.count_distinct(F.coalesce("__group", "__key")).alias("__n"))
+        hits = hits.join(units.filter(F.col("__n") > threshold).select("__h"), "__h")
+    lists = hits.groupBy("__key").agg(F.collect_list("__h").alias("__drop"))
     split = F.split(text_col, "\n")
     kept = F.filter("__lines", lambda x: ~F.array_contains("__drop", _hash(x)))
     out = docs.withColumn("__key", F.struct(id_col)).join(lists, "__key", "left")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import re
 
+import corpus_pipeline
 import pytest
 
 from lodestone.llm import op03_toxicity as tox
@@ -30,3 +32,21 @@ def test_copies_of_a_misspelling_do_not_excuse_it(spark):
     texts = ["you morron, you morron"] * 5 + ["a moron", "moron again"]
     got = {r.doc_id: r for r in tox.toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert all(got[i].n_misspelled == 2 and got[i].toxic for i in range(5))
+
+
+def test_near_copies_keep_their_text_through_line_dedup(spark):
+    """50 copies of a text of several lines, each with one edited line, are one document in the end, with all its lines; boilerplate goes."""
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    lines = [words(12) for _ in range(10)]
+    rows = []
+    for i in range(50):
+        own = list(lines)
+        own[i % 10] = own[i % 10].rsplit(" ", 1)[0] + f" e{i}"
+        rows.append((i, "\n".join(own)))
+    rows += [(100 + i, f"All rights reserved\n{words(40)}") for i in range(20)]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    out = stages["minhash_near_dedup"](spark, stages["line_dedup"](spark, docs, ""), "").collect()
+    texts = dict(rows)
+    assert {r.doc_id: r.text for r in out} == {0: texts[0]} | {i: t.split("\n")[1] for i, t in rows if i >= 100}
