@@ -15,6 +15,13 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/lodestone-{uuid.uuid4().hex}"
+        path, files = self._at("")
+        files.mkdirs(path)
+        files.deleteOnExit(path)  # results may be read until the driver ends
+
+    def _at(self, name: str) -> tuple:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df; what is returned reads the table."""
@@ -23,7 +30,6 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._at(name)
+            files.delete(path, True)
