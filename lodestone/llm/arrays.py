@@ -36,6 +36,16 @@ def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def characters(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, and where each text starts among them. Bytes that are no UTF-8 count as U+FFFD."""
+    codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    where = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[off]
+    if len(codes) == where[-1]:
+        return codes, where
+    parts = [np.frombuffer(data[a:b].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+    return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+
+
 def chunks(off: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `limit` bytes together."""
     i, n = 0, len(off) - 1

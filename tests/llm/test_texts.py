@@ -159,9 +159,13 @@ def test_a_frequent_form_is_a_word_of_its_own(spark):
 
 def test_scores_are_those_of_brute_force(spark, documents, awkward, empty):
     rows = documents.select("doc_id", "text").collect()
-    got = {r.doc_id: r.score for r in tox.toxicity(documents).collect()}
-    assert got == {r.doc_id: s for r, s in zip(rows, brute.toxic([r.text for r in rows]))}
-    assert sum(s >= tox.THRESHOLD for s in got.values()) > 0
+    for lexicon in (tox.weighted(), tox.lexicon_of(documents, "/root/testdata/sf0.001"), tox.weighted({"über": 1.0, "éèrê": 0.7, "achlichzu": 1.0, "idiot": 0.4})):
+        got = {r.doc_id: r.score for r in tox.toxicity(documents, lexicon=lexicon).collect()}
+        assert got == {r.doc_id: s for r, s in zip(rows, brute.toxic([r.text for r in rows], lexicon, tox.ALLOWED))}
+        assert sum(s >= tox.THRESHOLD for s in got.values()) > 0
+    odd = ["IDİOT ıdiot", "ÜBER über ubér", "\u0130idiot", "x*idiot id*ot*", "«idiot»", "idiot\nyou", "𝕚diot 😀idiot", "e\u0301idiot", None, ""]
+    got = judged(spark, *odd, lexicon={"idiot": 1.0, "über": 1.0})
+    assert [got[i].score for i in range(len(odd))] == brute.toxic(odd, tox.weighted({"idiot": 1.0, "über": 1.0}), tox.ALLOWED)
     out = tox.toxicity(awkward, keep=("doc_id", "score", "text"))
     assert out.columns.count("score") == 1 and out.count() == awkward.count() and tox.toxicity(empty).count() == 0
     assert {r.doc_id for r in out.filter("toxic").collect()} == {1}
@@ -170,11 +174,38 @@ def test_scores_are_those_of_brute_force(spark, documents, awkward, empty):
 def test_labels_of_held_out_documents(spark):
     folder = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{folder}/documents.parquet").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
-    rows = tox.toxicity(docs.withColumnRenamed("toxic", "label"), keep=("doc_id", "label", "quality")).collect()
+    lexicon = tox.lexicon_of(docs.select("doc_id", "text"), folder)  # as the query has it
+    rows = tox.toxicity(docs.withColumnRenamed("toxic", "label"), keep=("doc_id", "label", "quality"), lexicon=lexicon).collect()
     flagged = [r for r in rows if r.toxic]
     assert len(flagged) > 200 and sum(r.label for r in flagged) / len(flagged) > 0.99
 
 
+def test_terms_are_learned_from_labels(spark):
+    """Half of the labels teach, the other half judge; copies of one toxic text teach nothing, and another table's rows change no verdict."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    lexicon = tox.learn(docs, labels.filter("doc_id % 4 < 2"))
+    rows = tox.toxicity(docs.join(labels.filter("doc_id % 4 >= 2").withColumnRenamed("toxic", "label"), "doc_id"), keep=("label", "lang"), lexicon=lexicon).collect()
+    bad, flagged = [r for r in rows if r.label], [r for r in rows if r.toxic]
+    assert sum(r.toxic for r in bad) / len(bad) >= 0.85 and sum(r.label for r in flagged) / len(flagged) >= 0.97
+    assert {r.lang for r in flagged if r.label} == {"en", "de", "fr", "es"}
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices("bcdfg", k=2)) + "".join(rng.choices("aeiou", k=2)) + "".join(rng.choices("lmn", k=2))
+    rows = []
+    for i in range(300):
+        w = [word() for _ in range(40)]
+        if i % 10 == 0:
+            w[5] = w[20] = "grässlik"
+        rows.append((i, " ".join(w), int(i % 10 == 0)))
+    rows += [(1000 + i, rows[0][1].replace("grässlik", "zzyzzy") + f" edit{i}", 1) for i in range(60)]
+    rows += [(2000, None, 1), (2001, "", 0), (None, "grässlik", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    learned = tox.learn(df, df.select("doc_id", "toxic").union(spark.createDataFrame([(None, 1), (5, None), (5000, 1), (3, 0)], "doc_id long, toxic int")))
+    assert set(learned) - set(tox.LEXICON) == {"grässlik"}
+    assert tox.learn(df, df.select("doc_id", "toxic").limit(0)) == tox.weighted() == tox.learn(df.limit(0), df.select("doc_id", "toxic"))
+    assert [r.toxic for r in judged(spark, "der grässlik da, grässlik", "der grasslik du, grässlik", "grässlik", lexicon=learned).values()] == [True, True, False]
+
+
 # HTML
 
 
