@@ -1,6 +1,6 @@
 """A corpus from documents: five stages, each written as Parquet and read again as the next one's documents.
 
-1. toxicity: documents that score as toxic go.
+1. toxicity: documents that score as toxic go, by the lexicon with what the labels beside the documents teach.
 2. line dedup: lines of more than 10 documents go, where a group of near copies counts as one document. A document
    that would lose all its lines stays. Near-dedup decides on copies.
 3. MinHash near-dedup: of each group of near copies the document of lowest id stays. Documents
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.op02_sentencepiece import encode
-from lodestone.llm.op03_toxicity import THRESHOLD, scores
+from lodestone.llm.op03_toxicity import THRESHOLD, lexicon_of, scores
 from lodestone.llm.op04_line_dedup import line_dedup
 from lodestone.llm.op09_mixing import mix
 from lodestone.llm.op10_minhash import near_copies
@@ -26,7 +26,7 @@ from lodestone.llm.scratch import Scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs.withColumn("__toxicity", scores(docs)).filter(F.col("__toxicity.score") < THRESHOLD).select(*docs.columns)
+    return docs.withColumn("__toxicity", scores(docs, lexicon=lexicon_of(docs, sf_dir))).filter(F.col("__toxicity.score") < THRESHOLD).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
