@@ -9,9 +9,10 @@ that is an unbiased estimate, with an error of at most EPSILON standard widths,
 Each query takes the exact products of some of its best estimates; the k-th of those is a threshold, and every vector
 whose estimate plus error bound reaches it is reranked exactly. Nothing else is computed from the vectors themselves.
 
-Every row is a query. Vectors are packed into blocks of `block`; each pair of blocks is one task row of numpy work,
-and the best of all blocks are merged per query. No vector is cut off but by its bound. The pairs of blocks grow with the
-square of the table: vectors without clusters, as in the test data, leave no index anything to skip.
+Vectors are packed into blocks of `block` where they lie. The stated queries (all rows, or those that a condition on the id picks) are taken in
+batches of about `batch`, a bounded number that is broadcast; a task goes through its blocks with the k best so far of each query, whose
+k-th is a threshold for the next block, and only its k best a query are shuffled and merged. Each batch of queries is a pass over the packed table: work is
+queries times rows, and no vector is left out but by its bound. Vectors without clusters, as in the test data, leave an index of cells nothing to skip.
 
 Defined results: vectors that are null, not of the most frequent length (the lower one if equal), or hold null, NaN or infinity
 are left out, as are rows without an id; of rows that share an id the least vector counts; a vector is no neighbour of its own id;
@@ -24,14 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm import arrays as A
 from lodestone.llm.scratch import Scratch
 
-K, EPSILON, BITS, BLOCK, QUERIES_AT_ONCE = 10, 1.9, 4, 8192, 32
+K, EPSILON, BITS, BLOCK, BATCH, QUERIES_AT_ONCE, EVERY = 10, 1.9, 4, 8192, 1 << 16, 32, 50
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -85,8 +86,8 @@ def products(side: Side, part: slice, packed: np.ndarray, ones: np.ndarray, dim:
     return out
 
 
-def search(qx: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, packed: np.ndarray, length: np.ndarray, own: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query number, neighbour number and exact product of the best k for each query."""
+def search(qx: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, packed: np.ndarray, length: np.ndarray, own: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int, epsilon: float = EPSILON, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query number, neighbour number and exact product of the best k for each query. known: products that k others of each query reach."""
     dim = x.shape[1]
     side = Side(qx, mean, turn)
     ones = np.bitwise_count(packed).sum(1, dtype=np.int64)
@@ -118,6 +119,8 @@ def search(qx: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, pac
                 f = first[r == i]
                 if len(f) >= k:
                     least[i] = np.partition(f, len(f) - k)[len(f) - k]
+        if known is not None:
+            least = np.maximum(least, known[part].astype(np.float32))
         slack = np.float32(1e-5) * (np.abs(least) + 1)
         floor = np.where(np.isfinite(least), least - slack, -np.inf)[:, None]
         guess += width[None, :] * qlen
@@ -135,10 +138,33 @@ def search(qx: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, pac
     return tuple(np.concatenate(z) for z in zip(*out))
 
 
-def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, epsilon: float = EPSILON) -> DataFrame:
-    """vec_id, neighbour_id, score (the exact inner product) and rank from 1 to k."""
+class Best:
+    """The k best of every query so far."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        self.q, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        q, ids, score = np.concatenate((self.q, q)), np.concatenate((self.id, ids)), np.concatenate((self.score, score))
+        order = np.lexsort((ids, -score, q))
+        good = np.arange(len(q)) - np.searchsorted(q[order], q[order]) < self.k
+        order = order[good]
+        self.q, self.id, self.score = q[order], ids[order], score[order]
+
+    def known(self) -> np.ndarray:
+        """The k-th product of each query; below every number where there are fewer."""
+        out = np.full(self.n, -np.inf)
+        last = np.flatnonzero(np.append(self.q[1:] != self.q[:-1], True)) if len(self.q) else np.zeros(0, np.int64)
+        full = last[np.diff(np.append(-1, last)) == self.k]
+        out[self.q[full]] = self.score[full]
+        return out
+
+
+def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, epsilon: float = EPSILON, queries: Column | None = None, batch: int = BATCH) -> DataFrame:
+    """vec_id, neighbour_id, score (the exact inner product) and rank from 1 to k. queries: a condition on vec_id; without it every row is a query."""
     spark, schema = vectors.sparkSession, "vec_id long, neighbour_id long, score double, rank int"
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     rows = rows.filter(~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))))
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not lengths:
@@ -147,51 +173,61 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_co
     rows = rows.filter(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
     disk = Scratch(spark)
     rows = disk.keep(rows, "vectors")
-    stats = rows.agg(F.count("*").alias("n"), *[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(dim)]).first()
-    n, mean = stats.n, np.array(stats[1:], np.float64)
-    count = max(1, -(-n // block))
+    asked = rows if queries is None else rows.filter(queries)
+    mean = np.array(rows.agg(*[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(dim)]).first(), np.float64)
     turn = rotation(dim)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
-            part = b.column(2).to_numpy(zero_copy_only=False)
-            for p in np.unique(part).tolist():
-                held.setdefault(p, []).append((ids[part == p], x[part == p]))
-        for p, pieces in held.items():
-            ids, x = (np.concatenate(z) for z in zip(*pieces))
+        ids, x = np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
+
+        def packed(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
             order = np.argsort(ids)
             ids, x = ids[order], x[order]
-            packed, length, own = codes(x, mean, turn)
-            blobs = [pa.array([a.tobytes()], pa.binary()) for a in (ids.astype(np.int64), x, packed, length, own)]
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), *blobs], ["b", "ids", "x", "packed", "length", "own"])
-
-    blocked = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias("b")).repartition(count, "b")
-    blocked = disk.keep(blocked.mapInArrow(pack, "b long, ids binary, x binary, packed binary, length binary, own binary"), "blocks")
-    all_blocks = F.array(*[F.lit(i).cast('long') for i in range(count)]) if count <= 64 else F.sequence(F.lit(0).cast('long'), F.lit(count - 1).cast('long'))
-    left = blocked.select(F.col("b").alias("i"), F.explode(all_blocks).alias("j"), F.col("ids").alias("qids"), F.col("x").alias("qx"))
-    right = blocked.select(F.col("b").alias("j"), F.explode(all_blocks).alias("i"), "ids", "x", "packed", "length", "own")
-    pairs = left.repartition(count * count, "i", "j").join(right.repartition(count * count, "i", "j"), ["i", "j"]).select("qids", "qx", "ids", "x", "packed", "length", "own")
-
-    def scan(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i in range(b.num_rows):
-            raw = [c[i].as_py() for c in b.columns]
-            qids, ids = np.frombuffer(raw[0], np.int64), np.frombuffer(raw[2], np.int64)
-            qx, x = (np.frombuffer(r, np.float32).reshape(-1, dim) for r in (raw[1], raw[3]))
-            packed = np.frombuffer(raw[4], np.uint64).reshape(len(ids), -1)
-            q, c, s = search(qx, qids, x, ids, packed, np.frombuffer(raw[5], np.float64), np.frombuffer(raw[6], np.float64), mean, turn, k, epsilon)
-            yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(ids[c]), pa.array(s)], ["vec_id", "neighbour_id", "score"])
-
-    best = A.map_batches(pairs, scan, "vec_id long, neighbour_id long, score double")
+            return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (ids, x, *codes(x, mean, turn))], ["ids", "x", "packed", "length", "own"])
+
+        for b in batches:
+            ids = np.concatenate((ids, b.column(0).to_numpy(zero_copy_only=False)))
+            x = np.concatenate((x, b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)))
+            while len(ids) >= block:
+                yield packed(ids[:block], x[:block])
+                ids, x = ids[block:], x[block:]
+        if len(ids):
+            yield packed(ids, x)
+
+    blocks = disk.keep(rows.mapInArrow(pack, "ids binary, x binary, packed binary, length binary, own binary"), "blocks")
+    passes = max(1, -(-asked.count() // batch))
+    found = []
+    for i in range(passes):
+        own = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i).toArrow()  # about `batch` rows
+        qids = own["vec_id"].to_numpy()
+        qx = own["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+        sent = spark.sparkContext.broadcast((qids, qx))
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            qids, qx = sent.value
+            best = Best(len(qids), k)
+            for b in batches:
+                for j in range(b.num_rows):
+                    raw = [c[j].as_py() for c in b.columns]
+                    ids, x = np.frombuffer(raw[0], np.int64), np.frombuffer(raw[1], np.float32).reshape(-1, dim)
+                    bits = np.frombuffer(raw[2], np.uint64).reshape(len(ids), -1)
+                    q, c, s = search(qx, qids, x, ids, bits, np.frombuffer(raw[3], np.float64), np.frombuffer(raw[4], np.float64), mean, turn, k, epsilon, best.known())
+                    best.add(q, ids[c], s)
+            yield pa.RecordBatch.from_arrays([pa.array(qids[best.q]), pa.array(best.id), pa.array(best.score)], ["vec_id", "neighbour_id", "score"])
+
+        if len(qids):
+            part = blocks.mapInArrow(scan, "vec_id long, neighbour_id long, score double")
+            found.append(part if passes == 1 else disk.keep(part, f"found-{i}"))
+    if not found:
+        return spark.createDataFrame([], schema)
+    best = found[0] if passes == 1 else spark.read.schema(found[0].schema).parquet(f"{disk.root}/found-*")
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbour_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 nearest neighbours of every embedding."""
-    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """The 10 nearest neighbours, among all rows, of every embedding whose id is divisible by EVERY."""
+    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), queries=F.col("vec_id") % EVERY == 0)
 
 
 QUERIES = {"op6_nearest_neighbours": op6_nearest_neighbours}

@@ -78,12 +78,23 @@ def test_recall_against_brute_force(spark):
     g = x @ x.T
     np.fill_diagonal(g, -9)
     want = {(ids[i], ids[j]) for i in range(len(x)) for j in np.argsort(-g[i], kind="stable")[:10]}
-    for block in (128, 8192):
-        got = ann.neighbours(df, block=block).collect()
+    for block, batch in ((128, 1 << 16), (8192, 200)):
+        got = ann.neighbours(df, block=block, batch=batch).collect()
         assert len(got) == 10 * len(x) and all(abs(r.score - x[ids == r.vec_id][0] @ x[ids == r.neighbour_id][0]) < 1e-9 for r in got[:200])
         assert len(want & {(r.vec_id, r.neighbour_id) for r in got}) / len(want) > 0.99
 
 
+def test_query_against_brute_force(spark):
+    """Every fiftieth embedding against all: the very rows of a sort of all products."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    x, ids = np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows])
+    got: dict[int, list[int]] = {}
+    for r in ann.op6_nearest_neighbours(spark, "/root/testdata/sf0.1").orderBy("vec_id", "rank").collect():
+        got.setdefault(r.vec_id, []).append(r.neighbour_id)
+    want = {i: [int(j) for j in ids[np.lexsort((ids, -(x @ v)))] if j != i][:10] for i, v in zip(ids.tolist(), x) if i % 50 == 0}
+    assert got.keys() == want.keys() and sum(len(set(want[i]) & set(got[i])) for i in want) >= 0.99 * 10 * len(want)
+
+
 def test_recall_with_clusters_and_other_sizes():
     rng = np.random.default_rng(3)
     for n, dim, k in ((700, 100, 10), (300, 7, 5), (12, 3, 20), (1, 4, 3)):
@@ -119,7 +130,8 @@ def test_awkward_vectors(spark):
     got = [(r.vec_id, r.neighbour_id, r["rank"]) for r in ann.neighbours(df, 2).orderBy("vec_id", "rank").collect()]
     assert got == [(1, 2, 1), (1, 3, 2), (2, 3, 1), (2, 1, 2), (3, 2, 1), (3, 1, 2), (8, 1, 1), (8, 2, 2)]
     assert ann.neighbours(df.limit(0)).count() == 0
-    assert ann.neighbours(df.filter("vec_id = 8")).count() == 0
+    assert ann.neighbours(df.filter("vec_id = 8")).count() == 0 == ann.neighbours(df, queries=F.col("vec_id") > 100).count()
+    assert [r.neighbour_id for r in ann.neighbours(df, 2, queries=F.col("vec_id") == 8, batch=1).orderBy("rank").collect()] == [1, 2]
 
 
 # substrings
