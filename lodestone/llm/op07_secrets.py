@@ -11,7 +11,9 @@ Each name-literal pair is scored: the weight of the name's sensitive parts (came
 `field`, `name`, `url` or `length` make it harmless) times a factor of the literal, its bits of entropy over what is due for such a name, and
 nearly 0 for placeholders. Pairs of `threshold` or more are secrets. Known key formats count as fully random.
 
-Only documents in which a stem of a sensitive name occurs are lexed; the stems come from the tables of weights, so without one no pair can score. Lexing is linear in the text.
+Only documents in which a stem of a sensitive name occurs are lexed; the stems come from the tables of weights, so without one no pair can score.
+Names, calls, indentation and lines may be of any length: places of line ends and brackets are tabled once, so that nothing is looked for twice.
+A constant put in for names so often that it would be longer than its whole text isn't a constant any more.
 
 Defined results: null and empty texts have no secrets; each row is scanned for itself, repeated rows and null ids too;
 places are in characters; the literal itself isn't returned, but its place, length and sha256;
@@ -20,6 +22,7 @@ other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -52,7 +55,7 @@ PLACEHOLDER = re.compile(r"(?i)^(?:changeme|change[_-]?me|example|sample|dummy|n
 FORMATS = re.compile(r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{30,}|xox[abprs]-[\w-]{10,}|[sr]k_(?:live|test)_\w{10,}|AIza[\w-]{30,}|eyJ[\w-]+\.eyJ[\w-]+\.[\w-]*|-----BEGIN [A-Z ]*PRIVATE KEY-----)")
 FETCHES = re.compile(r"(?i)(?:env|get|read|load|input|find|fetch|lookup|param|prompt|request|query|select|resolve|format|len|hash|print|log|test|match|replace|split|join)")
 
-_OP = re.compile(r"(?<![=!<>:+\-*/%&|^~?]):=(?!=)|(?<![=!<>:+\-*/%&|^~])=(?![=~])>?|(?<![:=])[ \t]*:(?![:/=])")
+_OP = re.compile(r"(?<![=!<>:+\-*/%&|^~?]):=(?!=)|(?<![=!<>:+\-*/%&|^~])=(?![=~])>?|(?<![:=]):(?![:/=])")
 _NAME = re.compile(r"[A-Za-z_$@][\w$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*)*")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _JOIN = re.compile(r"[ \t]*(?:\n[ \t]*)?(?:\+|\.\.?|~|&|<>)[ \t]*(?:\\?\n[ \t]*)?(?=[\"'`A-Za-z_$@])|[ \t]*(?:\\\n[ \t]*)?(?=[\"'`A-Za-z_$@])")
@@ -63,9 +66,10 @@ _NUMBER = re.compile(r"\d[\w.]*")
 _BARE = re.compile(r"(?:\$\{\w+\}|[^\s\"'<>(){}\[\],;#])+")
 _HOLE = re.compile(r"\$?\{([A-Za-z_]\w*)\}|\$([A-Za-z_]\w*)|%\(([A-Za-z_]\w*)\)s")
 _XML = re.compile(r"<([\w:.-]+)(?:\s[^<>]*)?>([^<>\n]+)</\1>")
-_FLAG = re.compile(r"--([\w-]+)[ \t]+(?!-)(?:\"([^\"\n]*)\"|'([^'\n]*)'|([^\s\"'<>|;&]+))")
+_FLAG = re.compile(r"(?<!-)--([\w-]++)[ \t]+(?!-)(?:\"([^\"\n]*)\"|'([^'\n]*)'|([^\s\"'<>|;&]+))")
 _CALL = re.compile(r"\(\s*([\"'])([\w.-]+)\1\s*,\s*([\"'])([^\"'\n]*)\3")
-_LEAD = re.compile(r"(?:^|\n)[ \t]*(?:export |set |setx |declare |- |--|ENV |ARG )?[ \t]*[\"']?$")
+_LEADS = ("export ", "set ", "setx ", "declare ", "- ", "--", "ENV ", "ARG ")
+_SOME = re.compile(r"\S")
 
 
 def name_weight(name: str) -> float:
@@ -106,7 +110,38 @@ class Lexer:
 
     def __init__(self, text: str):
         self.text, self.constants = text, {}
-        self.pairs: list[tuple[str, str, int, int, bool]] = []
+        self.ends = [m.start() for m in re.finditer("\n", text)]
+        self.opening = [m.start() for m in re.finditer(r"\[", text)]
+        self.closing = [m.start() for m in re.finditer(r"\)", text)]
+        self.after: dict[int, int] = {}  # where what isn't white space goes on
+
+    def _line(self, at: int) -> tuple[int, int]:
+        """Where the line of `at` begins and ends."""
+        k = bisect.bisect_left(self.ends, at)
+        return (self.ends[k - 1] + 1 if k else 0), (self.ends[k] if k < len(self.ends) else len(self.text))
+
+    def _next(self, at: int) -> int:
+        """The first place from `at` on that isn't white space."""
+        if at not in self.after:
+            m = _SOME.search(self.text, at)
+            self.after[at] = m.start() if m else len(self.text)
+        return self.after[at]
+
+    def _leads(self, at: int) -> bool:
+        """Whether nothing but white space, a declaring word and a quote stand before `at` on its line."""
+        t, (low, _) = self.text, self._line(at)
+        i = at - (at > low and t[at - 1] in "\"'")
+        j = i
+        while j > low and t[j - 1] in " \t":
+            j -= 1
+        if j == low:
+            return True
+        first = self._next(low)
+        for word in _LEADS:
+            bare = word.rstrip()
+            if first == j - len(bare) and t.startswith(bare, first) and (word == bare or j < i and t[j] == " "):
+                return True
+        return False
 
     def _quoted(self, at: int) -> tuple[str, int, bool] | None:
         """The string literal at `at`: its text, its end, whether names were put in."""
@@ -114,8 +149,7 @@ class Lexer:
         if not m:
             return None
         mark, i = m[1], m.end()
-        stop = len(self.text) if len(mark) == 3 or mark == "`" else self.text.find("\n", i)
-        stop = len(self.text) if stop < 0 else stop
+        stop = len(self.text) if len(mark) == 3 or mark == "`" else self._line(i)[1]
         j = i
         while True:
             j = self.text.find(mark, j, stop)
@@ -156,7 +190,8 @@ class Lexer:
                 name, after = m[0], m.end()
                 if self.text.startswith("(", after):
                     inner = None if FETCHES.search(name.rpartition(".")[2]) else self._quoted(after + 1)
-                    close = self.text.find(")", after, after + 500)
+                    k = bisect.bisect_left(self.closing, after)
+                    close = self.closing[k] if k < len(self.closing) else -1
                     if inner and self.text.startswith(")", inner[1]):
                         if parts is not None:
                             parts.append(inner[0])
@@ -189,35 +224,42 @@ class Lexer:
             if not joined or joined.end() == at or not joined[0].strip(" \t") and not _PREFIX.match(self.text, joined.end()):
                 break
             at = joined.end()
+        if put and parts and sum(map(len, parts)) > len(self.text):
+            parts = None
         return ("".join(parts) if parts else None), begin, end, put, quoted
 
     def _target(self, at: int) -> tuple[str, int] | None:
         """The name that ends before `at`, and where it begins."""
         t, i = self.text, at
-        low = max(0, at - 300)
-        while i > low and t[i - 1] in " \t":
-            i -= 1
-        if i <= low:
-            return None
-        if t[i - 1] == "]":
-            j = t.rfind("[", low, i)
-            if j < 0:
+        while True:
+            while i > 0 and t[i - 1] in " \t":
+                i -= 1
+            if i == 0:
+                return None
+            if t[i - 1] != "]":
+                break
+            k = bisect.bisect_left(self.opening, i) - 1
+            if k < 0:
                 return None
-            inner = t[j + 1 : i - 1].strip()
-            if len(inner) > 2 and inner[0] in "\"'" and inner[-1] == inner[0]:
-                return inner[1:-1], j
-            return self._target(j)
+            j = self.opening[k]
+            first = self._next(j + 1)
+            if t[first] in "\"'" and first < i - 2:
+                close = t.find(t[first], first + 1, i - 1)
+                if close > first + 1 and self._next(close + 1) == i - 1:
+                    return t[first + 1 : close], j
+            i = j
+        low = self._line(i - 1)[0]
         if t[i - 1] in "\"'":
             j = t.rfind(t[i - 1], low, i - 1)
             name = t[j + 1 : i - 1]
-            return (name, j) if j >= 0 and name and "\n" not in name and len(name) <= 100 else None
+            return (name, j) if j >= 0 and name else None
         j = i
         while j > low and (t[j - 1].isalnum() or t[j - 1] in "_.-$>:" and not t[j - 1 : j + 1] == "->" or t[j - 1] == "-"):
             j -= 1
         name = t[j:i].lstrip(".->:$")
         return (name, i - len(name)) if name and not name[0].isdigit() else None
 
-    def run(self) -> list[tuple[str, str, int, int, bool]]:
+    def run(self) -> Iterator[tuple[str, str, int, int, bool]]:
         t = self.text
         for m in _OP.finditer(t):
             target = self._target(m.start())
@@ -242,20 +284,21 @@ class Lexer:
             if not quoted and not put:
                 value = None
                 bare = _BARE.match(t, at)
-                if bare and op in ("=", ":") and _LEAD.search(t, max(0, start - 40), start) and not t.startswith("(", bare.end()):
+                if bare and op in ("=", ":") and self._leads(start) and not t.startswith("(", bare.end()):
                     text = bare[0]
                     filled = _HOLE.sub(lambda h: self.constants.get(h[1] or h[2] or h[3], h[0]), text)
                     value, begin, end, put = filled, at, bare.end(), filled != text
+                    if put and len(filled) > len(t):
+                        value = None
             if value is not None:
                 self.constants[name] = self.constants[name.rpartition(".")[2]] = value
-                self.pairs.append((name, value, begin, end, put))
+                yield name, value, begin, end, put
         if "</" in t:
-            self.pairs += [(m[1], m[2].strip(), m.start(2), m.end(2), False) for m in _XML.finditer(t)]
+            yield from ((m[1], m[2].strip(), m.start(2), m.end(2), False) for m in _XML.finditer(t))
         if "--" in t:
-            self.pairs += [(m[1], next(filter(None, m.groups()[1:]), ""), m.end(1) + 1, m.end(), False) for m in _FLAG.finditer(t)]
+            yield from ((m[1], next(filter(None, m.groups()[1:]), ""), m.end(1) + 1, m.end(), False) for m in _FLAG.finditer(t))
         if "(" in t:
-            self.pairs += [(m[2], m[4], m.start(4), m.end(4), False) for m in _CALL.finditer(t)]
-        return self.pairs
+            yield from ((m[2], m[4], m.start(4), m.end(4), False) for m in _CALL.finditer(t))
 
 
 def scan(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int, int, bool, float, str]]:
@@ -270,7 +313,7 @@ def scan(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int,
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, name, start, end, length, propagated, score and sha256 of every secret."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(STEMS))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter(F.col("text").rlike(STEMS))
     names = ["doc_id", "name", "start", "end", "length", "propagated", "score", "sha256"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.string()]
 

@@ -50,3 +50,29 @@ def test_near_copies_keep_their_text_through_line_dedup(spark):
     out = stages["minhash_near_dedup"](spark, stages["line_dedup"](spark, docs, ""), "").collect()
     texts = dict(rows)
     assert {r.doc_id: r.text for r in out} == {0: texts[0]} | {i: t.split("\n")[1] for i, t in rows if i >= 100}
+
+
+WAYS = ['{n} = "{x}"', "{n}: '{x}'", '"{n}": "{x}"', "conf['{n}'] = '{x}'", "conf[a][ '{n}' ] = \"{x}\"", "{n}={x}", "export {n}={x}", "- {n}: {x}", "<{n}>{x}</{n}>", 'put("{n}", "{x}")', "run --{n} {x} on", '{n} = get({pad}) or "{x}"', '{n}: str = "{x}"', 'k1 = "{x}"\n{pad}\n{n} = k1']
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_every_way_of_assignment_at_any_length(way):
+    """Each literal is the one secret of its text, however long names, calls and indents are."""
+    for name in ("password", "a_" * 200 + "secret_key", "dbPass"):
+        for indent in ("", " " * 60, "\t" * 900):
+            for pad in ("x", "y " * 600):
+                if "\t" in indent and way.startswith(("k1", "export", "- ")):
+                    continue
+                text = "first line\n" + indent + way.format(n=name, x=LITERAL, pad=pad if "get" in way else f"z{pad}".replace(" ", "\n")) + "\nlast"
+                found = sec.scan(text)
+                place = text.rindex(LITERAL) if "k1" not in way else None
+                assert [(s[0].strip("-"), s[3]) for s in found] == [(name, len(LITERAL))], (text, found)
+                assert place is None or text[found[0][1] : found[0][2]].strip("\"' ") == LITERAL
+
+
+def test_secrets_are_those_of_scanning_every_text(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    odd = ["x" * 300_000 + '\npassword = "' + LITERAL + '"', "a=" * 60_000 + f'"{LITERAL}"', "]=" * 60_000, " " * 400_000 + "token", "-" * 300_000 + " password", 'p = "ab"\n' + "p = p + p\n" * 60 + "password = p", "[" + " " * 100_000 + "]=" * 20_000 + "secret", '{"a":"b",' * 40_000 + '"api_key":"' + LITERAL + '"']
+    docs = [(r.doc_id, r.text) for r in rows] + [(10**6 + i, t) for i, t in enumerate(odd)]
+    got = [tuple(r) for r in sec.secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted((i, *s) for i, t in docs for s in sec.scan(t)) and {10**6, 10**6 + 7} <= {r[0] for r in got}
