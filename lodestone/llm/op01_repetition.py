@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import arrays as A
+from lodestone.llm.names import col
 
 MIN_LENGTH, MAX_FRACTION, MAX_LONGEST = 50, 0.7, 1000
 SCHEMA = "doc_id long, n_chars long, covered_chars long, longest_repeat long"
@@ -128,7 +129,7 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = measure(data[off[i] : off[j]], off[i : j + 1] - off[i], min_length)
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *map(pa.array, found)], ["doc_id", "n_chars", "covered_chars", "longest_repeat"])
 
-    rows = A.map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, SCHEMA)
+    rows = A.map_batches(docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")), run, SCHEMA)
     fraction = F.when(F.col("n_chars") > 0, F.col("covered_chars") / F.col("n_chars")).otherwise(F.lit(0.0))
     return rows.withColumn("covered_fraction", fraction).withColumn("keep", (F.col("covered_fraction") <= max_fraction) & (F.col("longest_repeat") <= max_longest))
 

@@ -47,6 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import arrays as A
+from lodestone.llm.names import col
 from lodestone.llm.scratch import Scratch
 
 LEXICON: dict[str, float] = dict.fromkeys(
@@ -349,7 +350,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     disk = Scratch(spark)
     sample = labels.select(F.col("doc_id").cast("long").alias("i"), F.col("toxic").cast("int").alias("toxic")).filter("i IS NOT NULL AND toxic IS NOT NULL")
     sample = sample.groupBy("i").agg((F.max("toxic") > 0).alias("toxic")).orderBy(F.xxhash64("i"), "i").limit(most)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("text IS NOT NULL")
+    rows = docs.select(col(id_col).cast("long").alias("i"), col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     rows = rows.join(F.broadcast(sample), "i")  # LABELLED rows at most
 
     def sketch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -450,13 +451,13 @@ def scores(docs: DataFrame, text_col: str = "text", lexicon: dict[str, float] |
         return pa.StructArray.from_arrays([pa.array(x) for x in found], ["n_hits", "n_misspelled", "n_quoted", "score"])
 
     A.small_batches(docs)
-    return judged(F.col(f"`{text_col}`").cast("string"))
+    return judged(col(text_col).cast("string"))
 
 
 def toxicity(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), lexicon: dict[str, float] | Weights | None = None, allowed: frozenset[str] = ALLOWED, threshold: float = THRESHOLD) -> DataFrame:
     """The columns of `keep`, n_hits, n_misspelled, n_quoted, score and toxic, for each row of docs."""
     keep = tuple(c for c in keep if c not in RESULTS)
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"k{k}") for k, c in enumerate(keep)), scores(docs, text_col, lexicon, allowed).alias("found"))
+    rows = docs.select(*(col(c).alias(f"k{k}") for k, c in enumerate(keep)), scores(docs, text_col, lexicon, allowed).alias("found"))
     return rows.select(*(F.col(f"k{k}").alias(c) for k, c in enumerate(keep)), "found.*", (F.col("found.score") >= threshold).alias("toxic"))
 
 

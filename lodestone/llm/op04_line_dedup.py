@@ -11,7 +11,7 @@ that they share, for the same reason: what a group of copies has in common is it
 
 Defined results: ids count documents, so repeated rows of one id are one document, and all rows without an id
 together are one; a null text stays null with 0 lines, an empty one has one blank line; each input row
-gives one row; other columns are carried along, but for one with the name of a count; an empty table gives no rows.
+gives one row; other columns, whatever their names, are carried along, but for one with the name of a count; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.names import col, fresh
+
 THRESHOLD = 10
 
 
@@ -32,27 +34,28 @@ def _hash(line: Column) -> Column:
 
 def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep_whole: bool = False, counts: bool = True, groups: DataFrame | None = None) -> DataFrame:
     """docs with the lines over the threshold taken out of text; with `counts`, n_lines and n_dropped after its columns. groups has doc_id and group_id."""
-    lines = docs.select(F.struct(id_col).alias("__key"), F.explode(F.split(text_col, "\n")).alias("__line"))
+    key, drop, pieces, kept_name = fresh(docs, "key", "drop", "lines", "kept")
+    ident, body = col(id_col), col(text_col)
+    lines = docs.select(F.struct(ident.alias("id")).alias("k"), F.explode(F.split(body, "\n")).alias("line"))
     blank = _hash(F.lit(""))
-    hashes = lines.select("__key", _hash(F.col("__line")).alias("__h")).filter(F.col("__h") != blank).distinct()
-    often = hashes.groupBy("__h").agg(F.count("*").alias("__n")).filter(F.col("__n") > threshold).select("__h")
-    hits = hashes.join(often, "__h")
+    hashes = lines.select("k", _hash(F.col("line")).alias("h")).filter(F.col("h") != blank).distinct()
+    often = hashes.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > threshold).select("h")
+    hits = hashes.join(often, "h")  # a hot line's rows are split by AQE, since the other side has one row for it
     if groups is not None:
-        member = groups.select(F.struct(F.col("doc_id").alias(id_col)).alias("__key"), F.struct(F.col("group_id").alias(id_col)).alias("__group"))
-        units = hits.join(member, "__key", "left").groupBy("__h").agg(F.count_distinct(F.coalesce("__group", "__key")).alias("__n"))
-        hits = hits.join(units.filter(F.col("__n") > threshold).select("__h"), "__h")
-    lists = hits.groupBy("__key").agg(F.collect_list("__h").alias("__drop"))
-    split = F.split(text_col, "\n")
-    kept = F.filter("__lines", lambda x: ~F.array_contains("__drop", _hash(x)))
-    out = docs.withColumn("__key", F.struct(id_col)).join(lists, "__key", "left")
-    out = out.withColumn("__lines", F.when(F.col("__drop").isNotNull(), split))
-    out = out.withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept))
+        member = groups.select(F.struct(F.col("doc_id").alias("id")).alias("k"), F.struct(F.col("group_id").alias("id")).alias("g"))
+        units = hits.join(member, "k", "left").groupBy("h", F.coalesce("g", "k").alias("unit")).agg(F.lit(1)).groupBy("h").agg(F.count("*").alias("n"))
+        hits = hits.join(units.filter(F.col("n") > threshold).select("h"), "h")
+    lists = hits.groupBy(F.col("k").alias(key)).agg(F.collect_list("h").alias(drop))
+    split = F.split(body, "\n")
+    out = docs.withColumn(key, F.struct(ident.alias("id"))).join(lists, key, "left")
+    out = out.withColumn(pieces, F.when(F.col(drop).isNotNull(), split))
+    out = out.withColumn(kept_name, F.when(F.col(drop).isNotNull(), F.filter(pieces, lambda x: ~F.array_contains(drop, _hash(x)))))
     if keep_whole:
-        out = out.withColumn("__kept", F.when(F.exists("__kept", lambda x: F.trim(x) != ""), F.col("__kept")))
-    n_lines = F.coalesce(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    text = F.coalesce(F.array_join("__kept", "\n"), F.col(text_col))
-    dropped = F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).cast("long")
-    wanted = [text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
+        out = out.withColumn(kept_name, F.when(F.exists(kept_name, lambda x: F.trim(x) != ""), F.col(kept_name)))
+    n_lines = F.coalesce(F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    text = F.coalesce(F.array_join(kept_name, "\n"), body)
+    dropped = F.coalesce(F.size(pieces) - F.size(kept_name), F.lit(0)).cast("long")
+    wanted = [text.alias(text_col) if c == text_col else col(c) for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
     return out.select(*wanted, *([n_lines.alias("n_lines"), dropped.alias("n_dropped")] if counts else []))
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import arrays as A
+from lodestone.llm.names import col
 
 WIDEST, SPAN = 40, 1000
 RAW_TAGS = frozenset("script style template noscript iframe noembed noframes textarea title xmp".split())
@@ -433,14 +434,15 @@ def render(page: str | None) -> str | None:
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The columns of `keep`, then text: what each page shows."""
     keep = tuple(c for c in keep if c != "text")
-    rows = pages.select(F.col(html_col).cast("string").alias("__html"), *(f"`{c}`" for c in keep))
+    rows = pages.select(col(html_col).cast("string").alias("html"), *(col(c).alias(f"k{k}") for k, c in enumerate(keep)))
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         text = pa.array([render(p) for p in b.column(0).to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([*b.columns[1:], text], [*keep, "text"])
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], text], [*(f"k{k}" for k in range(len(keep))), "text"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
-    return A.map_batches(rows, run, ", ".join([*kinds, "text string"]))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
+    out = A.map_batches(rows, run, ", ".join([*kinds, "text string"]))
+    return out.select(*(F.col(f"k{k}").alias(c) for k, c in enumerate(keep)), "text")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

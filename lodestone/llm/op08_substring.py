@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm import arrays as A
+from lodestone.llm.names import col
 from lodestone.llm.scratch import Scratch
 
 LENGTH = 50
@@ -74,7 +75,7 @@ def blocks(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
 def occurrences(docs: DataFrame, length: int) -> DataFrame:

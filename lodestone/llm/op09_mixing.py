@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.llm.names import col
+
 GOLDEN, POINTS = 2654435769, 1 << 32
 BLOCK, SEED, SLACK, CHUNK = 2048, "mix", 64, 20
 
@@ -38,8 +40,8 @@ def token_count(text: Column) -> Column:
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK, slots: int | None = None, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """slot, epoch, block, source, doc_id and n_tokens: where in the mixture each document stands."""
     spark = docs.sparkSession
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), token_count(F.col(text_col)).alias("n")).groupBy("source", "doc_id").agg(F.sum("n").alias("n_tokens"))
+    source = F.coalesce(col(source_col).cast("string"), F.lit(""))
+    base = docs.select(col(id_col).alias("doc_id"), source.alias("source"), token_count(col(text_col)).alias("n")).groupBy("source", "doc_id").agg(F.sum("n").alias("n_tokens"))
     base = base.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).cast("string"))
     base = base.withColumn("bucket", F.substring("key", 1, 4))
     sums = base.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("here"))

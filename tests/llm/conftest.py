@@ -9,7 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = ("score", "ids", "n_lines", "slot", "group_id", "key", "n_tokens", "toxic", "rank", "block")
+CLASHING = ("score", "ids", "n_lines", "slot", "group_id", "n_tokens", "toxic", "rank", "block", "key", "drop", "__drop", "__kept", "__key", "__lines", "found", "gone", "h", "k", "a.b", "x`y", "mixed_id")
 
 
 def awkward_rows() -> list[tuple]:
