@@ -9,7 +9,10 @@
    beyond its weight stays out.
 5. SentencePiece: the ids of every text, and whether they decode to it.
 
-Every stage but the last returns the columns of documents. Rows that share an id go or stay together.
+Every stage but the last returns the columns of its input, whatever their names. Toxicity judges each row by its text; the other stages take rows that
+share an id for one document: all go or stay, but a line goes from each by itself. A null text counts as empty, but stays null; a document with null or
+empty text is neither toxic nor a copy. Rows without an id are no copies; in mixing they are one document. A null source is the source ''.
+Repeated rows stay repeated; ties go to the lowest id; an empty table goes through as one.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.names import col, cols, fresh
 from lodestone.llm.op02_sentencepiece import encode
 from lodestone.llm.op03_toxicity import THRESHOLD, lexicon_of, scores
 from lodestone.llm.op04_line_dedup import line_dedup
@@ -26,25 +30,28 @@ from lodestone.llm.scratch import Scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs.withColumn("__toxicity", scores(docs, lexicon=lexicon_of(docs, sf_dir))).filter(F.col("__toxicity.score") < THRESHOLD).select(*docs.columns)
+    (found,) = fresh(docs, "found")
+    return docs.withColumn(found, scores(docs, lexicon=lexicon_of(docs, sf_dir))).filter(F.col(found)["score"] < THRESHOLD).select(*cols(docs))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     disk = Scratch(spark)
     copies = disk.keep(near_copies(docs), "copies")
     out = line_dedup(docs, keep_whole=True, counts=False, groups=copies)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return out.select(*(F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else col(c) for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_copies(docs).filter("doc_id <> group_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    (gone,) = fresh(docs, "gone")
+    copies = near_copies(docs).filter("doc_id <> group_id").select(F.col("doc_id").alias(gone))
+    return docs.join(copies, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    plan = mix(docs).select(F.col("slot").alias("__slot"), F.col("source").alias("__source"), F.col("doc_id").alias("__id"))
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.coalesce(docs["source"], F.lit("")) == F.col("__source"))
-    return docs.join(plan, same).repartitionByRange("__slot").sortWithinPartitions("__slot", "doc_id").select(*docs.columns)
+    slot, source, ident = fresh(docs, "slot", "mixed_source", "mixed_id")
+    plan = mix(docs).select(F.col("slot").alias(slot), F.col("source").alias(source), F.col("doc_id").alias(ident))
+    same = docs["doc_id"].eqNullSafe(F.col(ident)) & (F.coalesce(docs["source"], F.lit("")) == F.col(source))
+    return docs.join(plan, same).repartitionByRange(slot).sortWithinPartitions(slot, "doc_id").select(*cols(docs))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
