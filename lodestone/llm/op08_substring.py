@@ -1,22 +1,25 @@
-"""Substring dedup: a relative Lempel-Ziv parse of every document against reference blocks of the whole corpus.
+"""Substring dedup: a relative Lempel-Ziv parse of every document against all indexed reference blocks.
 
-The reference of a document is everything before it: documents of lower id, and its own text further up.
-It is cut into content-defined blocks: a window of `length` words takes the anchor of least hash among its
-word 26-grams (for length 50), and neighbouring windows with one anchor form a block. Equal windows have equal
-anchors, so a block meets every block that could match it, and no others, under its anchor.
+The reference is the text that is new where it stands: documents in order of id, each window of `length` words that stands nowhere
+earlier, be it in a document of lower id or further up in its own. Stretches of such windows are the reference blocks; together they hold
+every window of the corpus once. So the longest match of a place is that of the one block that has its window, and a greedy parse from
+left to right takes it: the factor goes on while text and block agree. At a factor's end, where text and block part, the next factor
+is checked for from the last `length` - 1 words of this one on, so that a passage over two blocks isn't lost. Factors
+of `length` words or more are duplicate spans, and their union is every word of a window that stands earlier.
 
-* Blocks whose anchor stands once match nothing. Where all blocks of an anchor are equal, all their
-  windows are; the first block is their reference.
-* Where they differ, the windows of each distinct block are looked up one by one: that is the check at the boundaries, where
-  a copy begins or ends. Their texts are read again for it, those of one document for each distinct block.
+To find each window's first place without shuffling all windows, texts are cut into content-defined pieces: a window takes the anchor of least hash among its
+word 26-grams (for length 50), and neighbouring windows with one anchor form a piece. Equal windows have equal
+anchors, so a piece meets every piece that could match it, and no others, under its anchor.
 
-Then each document is parsed greedily from left to right: at a window that stands earlier, the factor starts
-that copies its first occurrence, and goes on while the next window continues in the same place. Factors are
-maximal and of `length` words or more; each is a duplicate span.
+* Pieces whose anchor stands once match nothing. Where all pieces of an anchor are equal, all their
+  windows are; the first piece has their first places.
+* Where they differ, a copy begins or ends in one of them, and the windows of each distinct piece are looked up one by one.
+  Their texts are read again for it, those of one document for each distinct piece.
 
-Anchors are shuffled, a fourteenth as many as words; texts once more for the documents with boundaries.
+Anchors are shuffled, a fourteenth as many as words; texts once more for the documents with boundaries. The least place of an anchor or window
+is an aggregate, combined before the shuffle, and is joined back, so that no task holds all rows of a hot one.
 
-Defined results: words are separated by ASCII white space and compared as they are; hashes have 64 bits; documents without an id
+Defined results: words are separated by ASCII white space and compared as they are, by hashes of 64 bits of all their bytes; documents without an id
 are left out; null, empty and short texts have no factors; rows that share id and text are one document, and places are told apart by id and
 position; the first occurrence is no duplicate; other columns are ignored; an empty table gives no rows.
 """
@@ -122,16 +125,16 @@ def factors(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     disk = Scratch(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     place = F.struct("doc_id", "at")
-    anchor = Window.partitionBy("anchor")
-    met = occurrences(texts, length).select(
-        "doc_id", "at", "n", "full", F.min(place).over(anchor).alias("ref"), F.max(place).over(anchor).alias("last"), F.min("full").over(anchor).alias("f0"), F.max("full").over(anchor).alias("f1")
-    )
-    met = disk.keep(met.filter("ref <> last").select("doc_id", "at", "n", "full", "ref", (F.col("f0") != F.col("f1")).alias("mixed")), "repeated")
+    pieces = occurrences(texts, length)
+    anchors = pieces.groupBy("anchor").agg(F.min(place).alias("ref"), F.max(place).alias("last"), F.min("full").alias("f0"), F.max("full").alias("f1"))
+    anchors = anchors.filter("ref <> last").select("anchor", "ref", (F.col("f0") != F.col("f1")).alias("mixed"))
+    met = disk.keep(pieces.join(anchors, "anchor").select("doc_id", "at", "n", "full", "ref", "mixed"), "repeated")
     whole = met.filter(~F.col("mixed") & (place != F.col("ref"))).select("doc_id", "at", "n", "ref")
     mixed = met.filter("mixed").select("doc_id", "at", "n", "full")
     distinct = mixed.groupBy("full").agg(F.min(place).alias("own"), F.max(place).alias("last"), F.first("n").alias("n"))
     lists = distinct.groupBy(F.col("own.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("own.at", "n", "full")).alias("blocks"))
-    found = window_hashes(texts, lists, length).withColumn("ref", F.min(place).over(Window.partitionBy("hash")))
+    windows = disk.keep(window_hashes(texts, lists, length), "windows")
+    found = windows.join(windows.groupBy("hash").agg(F.min(place).alias("ref")), "hash")
     known = found.join(distinct.select("full", (F.col("own") != F.col("last")).alias("copied")), "full").filter(F.col("copied") | (F.col("ref") != place))
     known = known.groupBy("full").agg(F.collect_set(F.struct("k", "ref")).alias("known"))
     edges = mixed.join(known, "full").select("doc_id", "at", F.explode("known").alias("x")).select("doc_id", (F.col("at") + F.col("x.k")).alias("at"), F.lit(1).alias("n"), F.col("x.ref").alias("ref"))

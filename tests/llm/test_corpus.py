@@ -163,6 +163,29 @@ def test_factors_are_those_of_brute_force(spark, awkward, empty):
     assert windows(awkward, 10) == brute.factors(rows, 10) and sub.factors(empty).count() == 0
 
 
+def factor_rows(df, length):
+    return sorted((r.doc_id, r.start_word, r.end_word, r.ref_doc_id, r.ref_start_word) for r in sub.factors(df, length).collect())
+
+
+def test_parse_is_the_greedy_one(spark):
+    """Factor by factor what a word-by-word parse against every reference block finds."""
+    rng = random.Random(11)
+    for length, vocabulary in ((4, "abcdef"), (6, "abc")):
+        passages = [rng.choices(vocabulary, k=30) for _ in range(3)]
+        docs = []
+        for i in range(40):
+            w = rng.choices([f"w{k}" for k in range(400)], k=rng.randint(0, 30))
+            for _ in range(rng.randint(0, 3)):
+                p, at = rng.choice(passages), rng.randint(0, len(w))
+                a = rng.randint(0, 20)
+                w[at:at] = p[a : a + rng.randint(3, 12)]
+            docs.append((i, " ".join(w)))
+        assert factor_rows(table(spark, docs), length) == sorted(brute.parse(docs, length))
+    head, tail = " ".join(f"h{i}" for i in range(50)), " ".join(f"t{i}" for i in range(50))
+    docs = [(1, f"{head} other"), (2, f"{head} {tail}"), (3, f"{head} {tail}")]
+    assert factor_rows(table(spark, docs), 50) == sorted(brute.parse(docs, 50)) == [(2, 0, 50, 1, 0), (3, 0, 50, 1, 0), (3, 1, 100, 2, 1)]
+
+
 def test_factors_of_documents(spark, documents):
     assert windows(documents, sub.LENGTH) == brute.factors(pairs(documents), sub.LENGTH)
     assert windows(documents.repartition(37), sub.LENGTH) == windows(documents, sub.LENGTH)
