@@ -6,8 +6,9 @@ A text is judged by its own repeated substrings of at least `min_length` charact
    again in the same text: no other place can begin such a repeat. Hash collisions leave a few too
    many, never too few.
 2. What those windows cover, put together with a separator of its own after each stretch, gets a
-   suffix array by prefix doubling, all texts of a chunk at once. The ranks of each round also give
-   the longest common prefixes of neighbours.
+   suffix array by prefix doubling, all texts of a chunk at once. The longest common prefixes of neighbours are found
+   bit by bit with hashes of spans, a strip of neighbours at a time. A text is worked on whole, with
+   some 80 bytes a character where all of it repeats.
 3. The suffix at place i of the array lies in the LCP intervals above it; the deepest has the length
    max(lcp[i], lcp[i+1]) and holds the longest repeat that starts there. Every maximal repeat is
    an LCP interval, its occurrences start at suffixes of that interval, and a deeper interval only covers more: the
@@ -32,6 +33,7 @@ from lodestone.llm import arrays as A
 from lodestone.llm.names import col
 
 MIN_LENGTH, MAX_FRACTION, MAX_LONGEST = 50, 0.7, 1000
+STRIP = 1 << 18  # windows or neighbours worked on together
 SCHEMA = "doc_id long, n_chars long, covered_chars long, longest_repeat long"
 
 
@@ -40,84 +42,102 @@ def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(codes)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(codes, kind="stable")
-    new = np.concatenate(([0], codes[order][1:] != codes[order][:-1]))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(new)
-    levels, step = [rank.astype(np.int32)], 1
-    while rank[order[-1]] + 1 < n and step < n:
-        second = np.zeros(n, np.int64)
-        second[:-step] = rank[step:] + 1
-        key = rank * (n + 1) + second
+    small = np.int32 if n < 1 << 31 else np.int64
+
+    def ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1])))
-        levels.append(rank.astype(np.int32))
+        key = key[order]
+        rank = np.empty(n, small)
+        rank[order] = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])), dtype=small)
+        return order, rank
+
+    order, rank = ranks(codes)
+    step = 1
+    while rank[order[-1]] + 1 < n and step < n:
+        del order
+        key = rank.astype(np.int64)
+        key *= n + 1
+        key[:-step] += rank[step:]
+        key[:-step] += 1
+        order, rank = ranks(key)
+        del key
         step *= 2
-    a, b = order[:-1].copy(), order[1:].copy()
-    lcp = np.zeros(n, np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        inside = (a < n) & (b < n)
-        same = np.zeros(n - 1, bool)
-        same[inside] = levels[k][a[inside]] == levels[k][b[inside]]
-        jump = np.where(same, 1 << k, 0)
-        lcp[1:] += jump
-        a += jump
-        b += jump
+    del rank
+    order = order.astype(small)
+    # the longest common prefixes of neighbours, bit by bit from the top, by the hashes of spans
+    prefix, lcp = A.prefix_hash(A.mix(codes.view(np.uint64))), np.zeros(n, small)
+    for i in range(1, n, STRIP):
+        x, y = order[i - 1 : min(i + STRIP, n) - 1].astype(np.int64), order[i : i + STRIP].astype(np.int64)
+        room, have = n - np.maximum(x, y), np.zeros(len(x), np.int64)
+        for k in range(n.bit_length() - 1, -1, -1):
+            fits = np.flatnonzero(have + (1 << k) <= room)
+            p, q = x[fits] + have[fits], y[fits] + have[fits]
+            same = A.span_hash(prefix, p, p + (1 << k)) == A.span_hash(prefix, q, q + (1 << k))
+            have[fits[same]] += 1 << k
+        lcp[i : i + STRIP] = have
     return order, lcp
 
 
+def _candidates(codes: np.ndarray, chars: np.ndarray, min_length: int) -> np.ndarray:
+    """Places of the windows of min_length characters that occur again in the same text, ascending."""
+    room = np.maximum(np.diff(chars) - min_length + 1, 0)
+    ends = np.cumsum(room)
+    if not len(ends) or ends[-1] < 2:
+        return np.zeros(0, np.int64)
+    prefix = A.prefix_hash(A.mix(codes.astype(np.uint64) + np.uint64(1)))
+    bits = np.uint64(max(1, len(codes).bit_length()))
+    key = np.empty(int(ends[-1]), np.uint64)
+    for i in range(0, len(key), STRIP):
+        at = np.arange(i, min(i + STRIP, len(key)))
+        doc = np.searchsorted(ends, at, "right")
+        at += chars[doc] - (ends[doc] - room[doc])
+        h = A.mix(A.span_hash(prefix, at, at + min_length) + doc.astype(np.uint64) * A.BASE)
+        key[i : i + STRIP] = (h >> bits << bits) | at.astype(np.uint64)
+    del prefix
+    key.sort()
+    again = (key[1:] >> bits) == (key[:-1] >> bits)
+    hit = np.append(again, False)
+    hit[1:] |= again
+    at = (key[hit] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    at.sort()
+    return at
+
+
 def measure(data: np.ndarray, off: np.ndarray, min_length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Characters, characters covered by repeats and the longest repeat of every text."""
-    codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[off]
+    codes, chars = A.characters(data, off)
     n, docs = len(codes), len(off) - 1
     lengths, covered, longest = np.diff(chars), np.zeros(docs, np.int64), np.zeros(docs, np.int64)
-    room = np.maximum(lengths - min_length + 1, 0)
-    if room.sum() < 2:
+    at = _candidates(codes, chars, min_length)
+    if not len(at):
         return lengths, covered, longest
-    prefix = A.prefix_hash(A.mix(codes + np.uint64(1)))
-    start = A.ragged(chars[:-1], room)
-    doc = np.repeat(np.arange(docs), room)
-    h = A.mix(A.span_hash(prefix, start, start + min_length) + doc.astype(np.uint64) * A.BASE)
-    bits = np.uint64(max(1, n.bit_length()))
-    key = np.sort((h >> bits << bits) | start.astype(np.uint64))
-    top = key >> bits
-    again = top[1:] == top[:-1]
-    if not again.any():
-        return lengths, covered, longest
-    hit = np.zeros(len(key), bool)
-    hit[1:] |= again
-    hit[:-1] |= again
-    at = np.sort((key[hit] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
     # stretches of the text that candidate windows of one document cover
     owner = np.searchsorted(chars, at, "right") - 1
-    fresh = np.concatenate(([True], (at[1:] > at[:-1] + min_length) | (owner[1:] != owner[:-1])))
-    first = np.flatnonzero(fresh)
+    first = np.flatnonzero(np.concatenate(([True], (at[1:] > at[:-1] + min_length) | (owner[1:] != owner[:-1]))))
     low = at[first]
     high = at[np.concatenate((first[1:] - 1, [len(at) - 1]))] + min_length
-    size = high - low
-    where = A.ragged(low, size)
-    body = np.repeat(np.arange(len(low)), size)
-    place = np.arange(len(where)) + body  # one separator after each stretch
-    flat = np.zeros(len(where) + len(low), np.int64)
-    flat[place] = (np.repeat(owner[first], size) << 22) | codes[where].astype(np.int64)
-    flat[np.cumsum(size) + np.arange(len(low))] = -1 - np.arange(len(low))
+    size, owner = high - low, owner[first]
+    del at, first
+    begins = np.cumsum(size + 1) - size - 1  # where each stretch begins in what follows; one separator after each
+    flat = np.empty(int((size + 1).sum()), np.int64)
+    for k, (a, e, to, who) in enumerate(zip(low.tolist(), high.tolist(), begins.tolist(), owner.tolist())):
+        flat[to : to + e - a] = codes[a:e]
+        flat[to : to + e - a] |= who << 22
+        flat[to + e - a] = -1 - k
     order, lcp = suffix_array(flat)
+    del flat
     best = np.maximum(lcp, np.append(lcp[1:], 0))
-    deep = best >= min_length
-    origin = np.full(len(flat), -1, np.int64)
-    origin[place] = where
-    begin, span = origin[order[deep]], best[deep]
-    if not len(begin):
+    deep = np.flatnonzero(best >= min_length)
+    place, span = order[deep].astype(np.int64), best[deep].astype(np.int64)
+    del order, lcp, best, deep
+    if not len(place):
         return lengths, covered, longest
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, begin, 1)
-    np.add.at(edge, begin + span, -1)
-    total = np.concatenate(([0], np.cumsum(np.cumsum(edge[:-1]) > 0)))
-    np.maximum.at(longest, np.searchsorted(chars, begin, "right") - 1, span)
-    return lengths, total[chars[1:]] - total[chars[:-1]], longest
+    body = np.searchsorted(begins, place, "right") - 1
+    begin = place - begins[body] + low[body]
+    edge = np.bincount(begin, minlength=n + 1) - np.bincount(begin + span, minlength=n + 1)
+    sums = np.concatenate(([0], np.cumsum(np.cumsum(edge[:-1]) > 0)))
+    np.maximum.at(longest, owner[body], span)
+    return lengths, sums[chars[1:]] - sums[chars[:-1]], longest
 
 
 def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, max_fraction: float = MAX_FRACTION, max_longest: int = MAX_LONGEST) -> DataFrame:
