@@ -6,12 +6,14 @@ closes its element only within its table cell, and misnested inline elements don
 in them. Its events, which nest, go to a renderer:
 
 * visibility: script, style, template, noscript, iframe and the rest of HIDDEN_TAGS, the whole head, elements with `hidden` or
-  display:none, visibility:hidden until a visible descendant, a closed dialog, and a closed details but for its
+  display:none, visibility:hidden until a visible descendant (inline or by a style sheet's rules for a tag, class or id; later rules win, at-rules
+  and selectors of several elements don't count), a closed dialog, and a closed details but for its
   summary show nothing; everything else is emitted;
 * block spacing: blocks stand on their own lines, those with margins (p, headings, lists, tables, ...) apart by a blank line;
   br breaks the line; white space collapses but in pre, listing, xmp and textarea;
 * lists: "- " or the number of the item (start, value), nested ones indented;
-* tables: a row on a line, cells under one another between " | ", rowspan and colspan kept. A column is as wide as its widest cell of up to 40
+* tables: a row on a line, cells under one another between " | ", rowspan and colspan kept; a cell of several blocks or
+  items has a line for each. A column is as wide as its widest cell of up to 40
   characters; wider cells stick out. A table of one column, which lays out a page, keeps its cells' blocks.
 
 Nesting is held in lists, not in recursion, so depth is no limit. Defined results: null stays null; empty html and html without visible text give "";
@@ -46,16 +48,32 @@ SECTIONS = frozenset(("thead", "tbody", "tfoot"))
 WALL = frozenset("table td th caption html template button object".split())
 LISTS = frozenset("ul ol menu dir".split())
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+)|=)*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_NONE = re.compile(r"display\s*:\s*none", re.I)
+_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([\w-]+)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
+_AT_RULE = re.compile(r"@[^{;]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*(?:\}|$))")
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)$")
 _SEEN = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW_TAGS}
 _WANTED = re.compile(r"hidden|style|open|span|start|value", re.I)
 
 
+def style_rules(sheet: str) -> list[tuple[str, frozenset[str], str | None, str | None]]:
+    """Of every rule of plain selectors (a tag, classes and an id, or some of them): tag, the classes and id as written, and the display and visibility it sets."""
+    out = []
+    for selectors, body in _RULE.findall(_AT_RULE.sub("", _COMMENT.sub("", sheet))):
+        shown, seen = _DISPLAY.findall(body), _SEEN.findall(body)
+        if shown or seen:
+            for one in selectors.split(","):
+                if (m := _SELECTOR.match(one.strip())) and m[0]:
+                    out.append(((m[1] or "*").lower(), frozenset(re.findall(r"[.#][\w-]+", m[2])), shown[-1].lower() if shown else None, seen[-1].lower() if seen else None))
+    return out
+
+
 def attributes(raw: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for name, a, b, c in _ATTR.findall(raw):
@@ -157,12 +175,13 @@ class _Table:
                         out._add(line)
                         out.end(margin=not line)
             return
-        flat = [{c: " ".join(filter(None, (x.strip() for x in lines))) for c, lines in r.items()} for r in rows]
-        width = {c: max((len(r[c]) for r in flat if c in r and len(r[c]) <= WIDEST), default=0) for c in columns}
+        flat = [{c: [x.rstrip() for x in lines if x.strip()] for c, lines in r.items()} for r in rows]
+        width = {c: max((len(x) for r in flat for x in r.get(c, ()) if len(x) <= WIDEST), default=0) for c in columns}
         for r in flat:
-            last = max(c for c, t in r.items() if t)
-            out._add(" | ".join(r.get(c, "").ljust(width[c]) for c in columns if c <= last))
-            out.end()
+            for k in range(max(map(len, r.values()))):
+                line = {c: lines[k] for c, lines in r.items() if k < len(lines)}
+                out._add(" | ".join(line.get(c, "").ljust(width[c]) for c in columns if c <= max(line)))
+                out.end()
 
 
 class Renderer:
@@ -173,12 +192,20 @@ class Renderer:
         self.open: list[list] = []  # name, shown, display none, extra
         self.tables: list[tuple[_Table, _Lines]] = []
         self.gone, self.shown, self.pre = 0, True, 0
+        self.rules: list[tuple[str, frozenset[str], str | None, str | None]] = []
 
     def start(self, name: str, attr: dict[str, str]) -> None:
         none = name in HIDDEN_TAGS or "hidden" in attr or name == "dialog" and "open" not in attr
         shown = self.shown
+        if self.rules:
+            own = {f".{c}" for c in attr.get("class", "").split()} | {f"#{attr.get('id')}"}
+            for tag, marks, display, visibility in self.rules:
+                if tag in ("*", name) and marks <= own:
+                    none = name in HIDDEN_TAGS or display == "none" if display else none
+                    shown = visibility == "visible" if visibility else shown
         if style := attr.get("style"):
-            none = none or bool(_NONE.search(style))
+            if display := _DISPLAY.findall(style):
+                none = name in HIDDEN_TAGS or display[-1].lower() == "none"
             if seen := _SEEN.findall(style):
                 shown = seen[-1].lower() == "visible"
         parent = self.open[-1] if self.open else None
@@ -326,7 +353,7 @@ class Builder:
                 self.to.start(name, {})
                 self.to.end()
             return
-        self._open(name, attributes(raw) if raw and _WANTED.search(raw) else {})
+        self._open(name, attributes(raw) if raw and (self.to.rules or _WANTED.search(raw)) else {})
 
     def _inside(self, name: str) -> bool:
         for n in reversed(self.stack):
@@ -385,7 +412,8 @@ class Builder:
                     self.text(page[at:i])
                 if page.startswith("<!--", i):
                     j = page.find("-->", i + 2)
-                    at = n if j < 0 else j + 3
+                    k = page.find("--!>", i + 4, n if j < 0 else j)
+                    at = k + 4 if k >= 0 else n if j < 0 else j + 3
                 elif page.startswith("<![CDATA[", i) and (j := page.find("]]>", i)) >= 0:
                     at = j + 3
                 else:
@@ -393,7 +421,7 @@ class Builder:
                 continue
             m = _TAG.match(page, i) if loose < 50 else None
             if m is None and (m := _LOOSE.match(page, i)):
-                loose += 1  # a quote without end; after many, no longer looked for
+                loose += 1  # a tag that quotes carry to the end of the page; after many, no longer looked for
             if m is None:
                 j = page.find("<", i + 1)
                 j = n if j < 0 else j
@@ -416,6 +444,8 @@ class Builder:
             if name in RAW_TAGS:
                 found = _END[name].search(page, at)
                 stop, after = (found.start(), found.end()) if found else (n, n)
+                if name == "style" and attributes(m[3]).get("media", "all").lower() in ("", "all", "screen"):
+                    self.to.rules += style_rules(page[at:stop])
                 if name in ("textarea", "xmp"):
                     self.to.text((_html.unescape(page[at:stop]) if name == "textarea" else page[at:stop]).removeprefix("\n"))
                 if self.stack and self.stack[-1] == name:

@@ -244,6 +244,13 @@ def test_terms_are_learned_from_labels(spark):
         ("&copy;&nbsp;2&#x41;", "© 2A"),
         ("<noscript>no</noscript><iframe>no</iframe>y", "y"),
         ("<h1>a<h2>b", "a\n\nb"),
+        ("<!-- c --!>x<!-->y<!--->z", "xyz"),
+        ("<p title=it's>Hello world, don't panic</p>", "Hello world, don't panic"),
+        ("<a b='x>y' c=d'e>t</a>", "t"),
+        ("<style>.h, p#i{display:none} b.k { visibility:hidden }</style><p class='a h'>no<p id=i>no<p class=k>yes<b class=k>no</b>", "yes"),
+        ("<style>.h{display:none}</style><p class=h style='display:block'>yes<div class=h>no", "yes"),
+        ("<style>@media print{.h{display:none}} /* .h{display:none} */</style><style media=print>p{display:none}</style><p class=h>yes", "yes"),
+        ("<table><tr><td>a<ul><li>one<li>two</ul><td>b<tr><td>c<td>d<br>e</table>", "a     | b\n- one\n- two\nc     | d\n      | e"),
     ],
 )
 def test_rendering(page, want):
@@ -287,6 +294,9 @@ def test_long_and_deep_pages(spark):
     assert render("<a \"" * 2000 + ">") is not None
     wide = "<table>" + "<tr><td>" + "w" * 50_000 + "<td>b" + "<tr><td>a<td>b" * 1000 + "</table>"
     assert len(render(wide)) < 200_000  # one wide cell doesn't pad all the others
+    assert render('<a x="' + '><b "x="' * 3000 + ">") is not None
+    odd = spark.createDataFrame([(1, "<p>a", 5, "u")] * 3, "page_id long, html string, text int, `a.b` string").withColumnsRenamed({"page_id": "k0"})
+    assert [tuple(r) for r in extract(odd, keep=("k0", "text", "a.b")).collect()] == [(1, "u", "a")] * 3
     df = spark.createDataFrame([(1, None, "x"), (None, "<p>a", "y"), (1, "", "z")], "page_id long, html string, text string")
     assert sorted((str(r.page_id), str(r.text)) for r in extract(df, keep=("page_id", "text")).collect()) == [("1", ""), ("1", "None"), ("None", "a")]
     assert extract(df.limit(0)).count() == 0
