@@ -10,7 +10,7 @@ from lodestone.functions.quantise import ProductQuantiser, one_bit_codes
 from lodestone.operators import ann, kmeans
 from lodestone.plans.tables import l2_squared_sql, query_vector, vectors
 
-DIM, SUB, PROBES, K = 64, 8, 3, 10
+DIM, SUB, PROBES, SPANN_PROBES, K = 64, 8, 3, 6, 10
 
 
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spann_topk_fixed_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The k best of the lists of each vector's nearest centroids, for every vector."""
-    return ann.search(_queries(spark, sf_dir), centroids(spark, sf_dir), _lists(spark, sf_dir), K, PROBES, 0.1, many=True)
+    return ann.search(_queries(spark, sf_dir), centroids(spark, sf_dir), _lists(spark, sf_dir), K, SPANN_PROBES, 0.1, many=True)
 
 
 def ivf_topk_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +140,7 @@ ORACLE = {
     "cluster_count_rule": "SELECT CAST(label AS BIGINT) AS user_id, count(*) AS n, CAST(ceil(count(*) / least(ceil(count(*) / 4.0), 20)) AS BIGINT) AS lists FROM embeddings GROUP BY label",
     "probe_ratio": f"WITH {_B}, {_P} SELECT query_id, centroid_id, centroid_score FROM p WHERE k <= 5 AND centroid_score - smin <= smin * 0.05",
     "spann_topk_fixed_centroids": f"""WITH {_B}, {_P}, {_L},
-f AS (SELECT query_id, l.doc_id, min(sqrt({l2_squared_sql('l.embedding', 'p.query')})) AS score FROM p JOIN l USING (centroid_id) WHERE p.k <= {PROBES} AND centroid_score - smin <= smin * 0.1 GROUP BY query_id, l.doc_id),
+f AS (SELECT query_id, l.doc_id, min(sqrt({l2_squared_sql('l.embedding', 'p.query')})) AS score FROM p JOIN l USING (centroid_id) WHERE p.k <= {SPANN_PROBES} AND centroid_score - smin <= smin * 0.1 GROUP BY query_id, l.doc_id),
 g AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS INTEGER) AS rank FROM f) SELECT query_id, doc_id, score, rank FROM g WHERE rank <= {K}""",
     "ivf_topk_listings": f"WITH {_B}, {_P}, {_L} SELECT l.doc_id, sqrt({l2_squared_sql('l.embedding', 'p.query')}) AS score FROM p JOIN l USING (centroid_id) WHERE query_id = {_Q0} AND p.k <= {PROBES} ORDER BY score, doc_id LIMIT {K}",
     "per_user_index_search": f"""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = {_Q0}),

@@ -64,9 +64,9 @@ def vector_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores in ascending order, ties by id, NaN last: 1 / value of events, NaN where there is none, as ranks."""
+    """All events by score in ascending order, ties by id, NaN last: their values, NaN where the event is an error (given as -1)."""
     e = read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.round("value", 1)).alias("score"))
-    ordered = e.orderBy("score", "doc_id").limit(1000)
+    ordered = e.orderBy("score", "doc_id")
     return ordered.select("doc_id", F.coalesce(F.nanvl("score", F.lit(None)), F.lit(-1.0)).alias("score"))
 
 
@@ -99,7 +99,7 @@ ORACLE = {k: v[1] for k, v in _found.items()} | {
     "user_filter": f"WITH {Q}, {_SCORED} SELECT doc_id, user_id, score FROM s WHERE user_id = 4 ORDER BY score, doc_id LIMIT {K}",
     "shard_gather": f"WITH {Q}, {_SCORED} SELECT doc_id, score FROM s ORDER BY score, doc_id LIMIT {K}",
     "vector_fetch": f"WITH {Q}, {_SCORED}, {_USERS} SELECT u.doc_id, u.score, CAST(len(e.embedding) AS INTEGER) AS dim, CAST(e.embedding[1] AS DOUBLE) AS first FROM u JOIN embeddings e ON e.vec_id = u.doc_id",
-    "result_ordering": "SELECT doc_id, CASE WHEN bad THEN -1.0 ELSE score END AS score FROM (SELECT event_id AS doc_id, event_type = 'error' AS bad, round(value, 1) AS score FROM events ORDER BY event_type = 'error', CASE WHEN event_type = 'error' THEN 0 ELSE round(value, 1) END, event_id LIMIT 1000)",
+    "result_ordering": "SELECT doc_id, CASE WHEN bad THEN -1.0 ELSE score END AS score FROM (SELECT event_id AS doc_id, event_type = 'error' AS bad, round(value, 1) AS score FROM events ORDER BY event_type = 'error', CASE WHEN event_type = 'error' THEN 0 ELSE round(value, 1) END, event_id)",
     "id_codecs": """
 WITH c AS (SELECT CAST(c_custkey AS BIGINT) AS low, CAST(-c_nationkey AS BIGINT) AS high FROM customer),
 h AS (SELECT *, printf('%016x', high) || printf('%016x', low) AS id FROM c)

@@ -1,5 +1,6 @@
 """Every registered query of the engine against its SQL."""
 
+import numpy as np
 import pytest
 from compare import DATA, same
 
@@ -34,3 +35,27 @@ def test_entry_without_the_llm_folders(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'l2_topk' in q and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_probed_lists_find_nine_of_ten(spark):
+    """Recall of the registered parameters, every vector a query, against exact distances."""
+    from lodestone.plans import index
+
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    number = {r.vec_id: i for i, r in enumerate(rows)}
+    x = np.array([r.embedding for r in rows], np.float64)
+    far = (x**2).sum(1)[:, None] - 2 * x @ x.T + (x**2).sum(1)[None, :]
+    exact = np.argpartition(far, index.K - 1, axis=1)[:, : index.K]
+    near = {(number[r.query_id], number[r.doc_id]) for r in index.spann_topk_fixed_centroids(spark, sf).collect()}
+    assert sum((i, j) in near for i, found in enumerate(exact.tolist()) for j in found) >= 0.9 * exact.size
+
+
+def test_every_event_in_order_and_nan_last(spark):
+    from lodestone.plans import vector
+
+    sf = "/root/testdata/sf0.001"
+    got = [(r.score, r.doc_id) for r in vector.result_ordering(spark, sf).collect()]
+    last = [d for s, d in got if s == -1.0]
+    assert len(got) == spark.read.parquet(f"{sf}/events.parquet").count() and last
+    assert got[-len(last) :] == [(-1.0, d) for d in sorted(last)] and got[: -len(last)] == sorted(got[: -len(last)])
