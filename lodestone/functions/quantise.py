@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,19 +42,25 @@ class ProductQuantiser:
 
     @staticmethod
     def train(docs: DataFrame, subvector: int, bits: int = 8, rows: int = 10000, max_iterations: int = 25, vector_col: str = "vector") -> ProductQuantiser:
-        """K-means of each subspace on `rows` live documents."""
-        from lodestone.operators.kmeans import kmeans, sample
+        """K-means of each subspace on `rows` live documents: one pass over them, a task for each subspace."""
+        from lodestone.operators.kmeans import lloyd, sample
 
-        chosen = sample(docs, rows)
         dim = len(docs.select(vector_col).first()[0])
         if dim % subvector:
             raise ValueError(f"{dim} dimensions can't be cut into subvectors of {subvector}")
-        books = []
-        for s in range(dim // subvector):
-            part = chosen.select("doc_id", F.slice(vector_col, s * subvector + 1, subvector).alias("vector"))
-            c = kmeans(part, 1 << bits, max_iterations)
-            books.append(np.concatenate([c, np.repeat(c[:1], (1 << bits) - len(c), axis=0)]))
-        return ProductQuantiser(np.stack(books))
+        parts = F.transform(F.sequence(F.lit(0), F.lit(dim // subvector - 1)), lambda s: F.slice("v", s * subvector + 1, F.lit(subvector)))
+        chosen = sample(docs.select("doc_id", F.col(vector_col).cast("array<double>").alias("v")), rows).select("doc_id", F.posexplode(parts).alias("s", "part"))
+
+        def train(t: pa.Table) -> pa.Table:
+            order = np.argsort(t["doc_id"].to_numpy(), kind="stable")  # the same start however the rows come
+            x = t["part"].combine_chunks().flatten().to_numpy().reshape(-1, subvector)[order]
+            c = lloyd(x, 1 << bits, max_iterations, 0.0)
+            return pa.table({"s": pa.array([t["s"][0].as_py()] * len(c), pa.int32()), "code": pa.array(range(len(c)), pa.int32()), "centroid": pa.array(list(c), pa.list_(pa.float64()))})
+
+        books: list[list[list[float]]] = [[] for _ in range(dim // subvector)]
+        for r in sorted(chosen.groupBy("s").applyInArrow(train, "s int, code int, centroid array<double>").collect()):  # codes alone
+            books[r.s].append(r.centroid)
+        return ProductQuantiser(np.array([b + b[:1] * ((1 << bits) - len(b)) for b in books]))
 
     def encode_array(self, x: np.ndarray) -> np.ndarray:
         m, _, d = self.codebook.shape

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.operators.ann import cluster_count
+from lodestone.sources.workspace import stored
 
 
 def sample(docs: DataFrame, n: int, doc_id: str = "doc_id") -> DataFrame:
@@ -113,7 +114,8 @@ def build_centroids(docs: DataFrame, centroids: int, max_list: int | None = None
     if n == 0:
         return np.zeros((0, 0))
     want = cluster_count(n, centroids, max_list)
-    found = kmeans(sample(docs, max(want, training_rows)), min(want, n), max_iterations, penalty)
+    # every iteration reads the sample again: it is written once
+    found = kmeans(stored(sample(docs.select("doc_id", "vector"), max(want, training_rows))), min(want, n), max_iterations, penalty)
     while True:
         tagged = docs.join(labels(docs, found), "doc_id")
         sizes = {r.label: r["count"] for r in tagged.groupBy("label").count().collect()}
@@ -139,7 +141,7 @@ def _split(tagged: DataFrame, sizes: dict[int, int], max_list: int, rows: int, m
     def cluster(t: pa.Table) -> pa.Table:
         label = t["label"][0].as_py()
         x = np.array(t["vector"].to_pylist(), np.float64)[np.argsort(t["r"].to_numpy())]
-        found = _lloyd(x, min(len(x), math.ceil(sizes[label] / max_list) + 1), max_iterations, penalty)
+        found = lloyd(x, min(len(x), math.ceil(sizes[label] / max_list) + 1), max_iterations, penalty)
         return pa.table([pa.array([label] * len(found), pa.int32()), pa.array(list(found), pa.list_(pa.float64()))], ["label", "centroid"])
 
     out: dict[int, list[np.ndarray]] = {label: [] for label in sizes}
@@ -148,7 +150,7 @@ def _split(tagged: DataFrame, sizes: dict[int, int], max_list: int, rows: int, m
     return out
 
 
-def _lloyd(x: np.ndarray, k: int, max_iterations: int, penalty: float) -> np.ndarray:
+def lloyd(x: np.ndarray, k: int, max_iterations: int, penalty: float) -> np.ndarray:
     """K-means of vectors in memory, from the first k distinct ones."""
     _, first = np.unique(x, axis=0, return_index=True)
     c = x[np.sort(first)[:k]]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,3 +21,13 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="lodestone-")
         sc.setCheckpointDir(folder)
     return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder, for what reads it again and again; deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lodestone-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
