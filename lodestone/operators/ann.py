@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -64,18 +64,19 @@ def probe(queries: DataFrame, centroids: DataFrame, probes: int, ratio: float |
     return near.drop("__rank")
 
 
-def search(queries: DataFrame, centroids: DataFrame, postings: DataFrame, k: int, probes: int, ratio: float | None = 0.1, keys: Sequence[str] = (), metric: Metric = "l2", matched: DataFrame | None = None, dedup: bool = True, many: bool = False) -> DataFrame:
+def search(queries: DataFrame, centroids: DataFrame, postings: DataFrame, k: int, probes: int, ratio: float | None = 0.1, keys: Sequence[str] = (), metric: Metric = "l2", matched: DataFrame | None = None, dedup: bool = True, many: bool = False, score: Column | None = None) -> DataFrame:
     """query_id, doc_id, score and rank: the k best of the postings of the probed centroids, over all keys.
 
     `matched` restricts the documents (keys, doc_id) before they are scored. With `dedup`, a document counts once for each of
     its keys, in however many lists it stands; without, each listing is a result. For `many` queries, each list first meets
-    all queries that probe it in one matrix product, which leaves what can be among its k best.
+    all queries that probe it in one matrix product, which leaves what can be among its k best. `score` is another score of
+    vector (of keys, vector and query) than the metric's; it isn't for `many` queries.
     """
     lists = postings.join(matched.select(*keys, "doc_id").distinct(), [*keys, "doc_id"], "left_semi") if matched is not None else postings
     near = probe(queries, centroids, probes, ratio, keys, metric).select("query_id", *keys, "centroid_id", "query")
     by = [*keys, "centroid_id"]
     found = _near_pairs(near, lists, by, k, metric) if many else lists.join(near, by)
-    scored = found.select("query_id", *keys, "doc_id", distance("vector", "query", metric).alias("score"))
+    scored = found.select("query_id", *keys, "doc_id", (distance("vector", "query", metric) if score is None else score).alias("score"))
     if dedup:
         scored = scored.groupBy("query_id", *keys, "doc_id").agg(F.min("score").alias("score"))
     return best(scored, k).select("query_id", *keys, "doc_id", "score", "rank")

@@ -91,8 +91,7 @@ def collection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     c.insert(v)
     c.flush()
-    ids = [r.doc_id for r in v.filter("user_id = 3").select("doc_id").collect()]
-    c.remove([3], ids)
+    c.remove_rows(v.filter("user_id = 3"))
     c.flush()
     users = [r.user_id for r in v.select("user_id").distinct().collect()]
     return c.snapshot().search(query_vector(spark, sf_dir), 10, users)

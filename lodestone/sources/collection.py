@@ -22,10 +22,14 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.functions.distance import l2_squared
+from lodestone.functions.packed import split_vectors, unpack_floats
+from lodestone.functions.quantise import ProductQuantiser
 from lodestone.functions.stemmers import language_name
 from lodestone.functions.text import keyword_terms, text_terms
 from lodestone.operators import ann, kmeans, search
@@ -69,6 +73,10 @@ class CollectionConfig:
     dedup: str = "segment"
 
     def __post_init__(self) -> None:
+        if self.quantization not in ("none", "pq"):
+            raise ValueError("quantization is none or pq")
+        if self.quantization == "pq" and (self.pq_subvector <= 0 or self.num_features % self.pq_subvector or not 1 <= self.pq_bits <= 8):
+            raise ValueError("pq_subvector must divide num_features, and pq_bits be 8 at most")
         if self.num_features <= 0 or self.id_type not in ("long", "string") or self.dedup not in ("segment", "latest"):
             raise ValueError("num_features must be positive, id_type long or string, dedup segment or latest")
         for name, kind in self.attributes.items():
@@ -101,6 +109,8 @@ class Snapshot:
         out = None
         for s, path in paths:
             part = c.spark.read.parquet(path).withColumn("segment", F.lit(s))
+            if table == "postings" and c.config.quantization == "pq":  # each segment has its own codes
+                part = part.withColumn("vector", c.quantiser(s).original("code")).drop("code")
             out = part if out is None else out.unionByName(part)
         return out
 
@@ -152,7 +162,15 @@ class Snapshot:
         mine = F.col("user_id").isin(list(users))
         query = self.collection.spark.createDataFrame([(0, [float(x) for x in vector])], "query_id long, vector array<double>")
         matched = None if where == "" else self.matched(where, users)
-        found = ann.search(query, centroids.filter(mine), postings.filter(mine), k, probes or k, ratio, keys, self.collection.config.metric, matched)
+        score = None
+        if self.collection.config.quantization == "pq":  # both sides quantised, by the segment's codes, and squared
+            pairs = []
+            for s in self.segments:
+                pq = self.collection.quantiser(s)
+                code = pq.encode_array(np.array([vector], np.float64))[0]
+                pairs += [F.lit(s), F.array(*[F.lit(float(x)) for i, c in enumerate(code) for x in pq.codebook[i, c]])]
+            score = l2_squared("vector", F.create_map(*pairs)[F.col("segment")])
+        found = ann.search(query, centroids.filter(mine), postings.filter(mine), k, probes or k, ratio, keys, self.collection.config.metric, matched, score=score)
         return found.orderBy("score", "doc_id").select("doc_id", "score")
 
     def term_search(self, where: Filter, limit: int | None, users: Sequence) -> DataFrame:
@@ -252,15 +270,37 @@ class Collection:
             docs = docs.withColumn("attributes", F.create_map().cast("map<string,string>"))
         return self.append(docs.withColumn("op", F.lit("insert")))
 
+    def insert_packed(self, batches: DataFrame) -> tuple[int, int]:
+        """batches: doc_ids (an array), vectors (one binary of little-endian 32-bit floats), user_ids, and attributes (an array of maps, optional).
+
+        Each row holds a vector for each of its documents, and each user gets all of them; other lengths are an error.
+        """
+        flat = batches.withColumn("vectors", unpack_floats("vectors"))
+        cut = flat.withColumn("vectors", split_vectors("vectors", self.config.num_features))
+        none = F.transform("doc_ids", lambda _: F.create_map().cast("map<string,string>"))
+        cut = cut.withColumn("attributes", F.coalesce("attributes", none) if "attributes" in batches.columns else none)
+        fits = (F.size("vectors") == F.size("doc_ids")) & (F.size("attributes") == F.size("doc_ids"))
+        rows = F.when(fits, F.arrays_zip("doc_ids", "vectors", "attributes")).otherwise(F.raise_error(F.lit("a vector and a map are needed for each document")))
+        docs = cut.select("user_ids", F.explode(rows).alias("x"))
+        return self.insert(docs.select("user_ids", F.col("x.doc_ids").alias("doc_id"), F.col("x.vectors").alias("vector"), F.col("x.attributes").alias("attributes")))
+
     def remove(self, users: Sequence, doc_ids: Sequence) -> tuple[int, int]:
         """Deletes every one of the documents of every one of the users; those that aren't there are no error."""
         kind = self.config.id_type_sql
-        rows = [("delete", u, d) for u in users for d in doc_ids]
-        ops = self.spark.createDataFrame(rows, f"op string, user_id {kind}, doc_id {kind}")
+        lists = self.spark.createDataFrame([(list(users), list(doc_ids))], f"users array<{kind}>, docs array<{kind}>")
+        return self.remove_rows(lists.select(F.explode("users").alias("user_id"), "docs").select("user_id", F.explode("docs").alias("doc_id")))
+
+    def remove_rows(self, rows: DataFrame) -> tuple[int, int]:
+        """Deletes the documents of these rows (user_id, doc_id), however many there are."""
+        ops = rows.select(F.lit("delete").alias("op"), "user_id", "doc_id")
         return self.append(ops.withColumn("vector", F.lit(None).cast("array<float>")).withColumn("attributes", F.lit(None).cast("map<string,string>")))
 
     # segments
 
+    def quantiser(self, segment: str) -> ProductQuantiser:
+        """That of the codes in the segment's lists."""
+        return ProductQuantiser(self.files.read_json(f"{self.root}/segments/{segment}/codebook.json"))
+
     def _no_docs(self) -> DataFrame:
         k = self.config.id_type_sql
         return self.spark.createDataFrame([], f"user_id {k}, doc_id {k}, vector array<float>, attributes map<string,string>, seq long, segment string")
@@ -287,13 +327,14 @@ class Collection:
         """Writes docs (user_id, doc_id, vector, attributes, seq) as a segment with its indexes."""
         name = f"seg_{uuid.uuid4().hex[:12]}"
         at, c = f"{self.root}/segments/{name}", self.config
-        docs.repartition("user_id").sortWithinPartitions("user_id", "doc_id").write.option("parquet.bloom.filter.enabled#doc_id", "true").parquet(f"{at}/docs")
+        # ranges, not hashes: a large tenant is written by many tasks, and files hold few tenants each
+        docs.repartitionByRange("user_id", "doc_id").sortWithinPartitions("user_id", "doc_id").write.option("parquet.bloom.filter.enabled#doc_id", "true").parquet(f"{at}/docs")
         docs = self.spark.read.parquet(f"{at}/docs")
         stats = docs.agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b")).first()
         if not stats.n:
             self.files.delete(at)
             return None
-        self.terms(docs).repartition("user_id").sortWithinPartitions("user_id", "term", "doc_id").write.parquet(f"{at}/terms")
+        self.terms(docs).repartitionByRange("user_id", "term", "doc_id").sortWithinPartitions("user_id", "term", "doc_id").write.parquet(f"{at}/terms")
         # centroids are trained on all users' vectors; each user has its own means of them, which only its vectors move
         trained = kmeans.build_centroids(docs.select("doc_id", "vector"), c.initial_num_centroids, c.max_posting_list_size, c.training_rows, c.max_iterations, c.unbalanced_penalty)
         shared = kmeans.table(self.spark, trained)
@@ -301,7 +342,12 @@ class Collection:
         ann.cluster_means(first.withColumn("vector", F.col("vector").cast("array<double>")), c.num_features, ["user_id"]).write.parquet(f"{at}/centroids")
         centroids = self.spark.read.parquet(f"{at}/centroids")
         lists = ann.assign(docs.select("user_id", "doc_id", "vector", "seq"), centroids, ["user_id"], c.max_clusters_per_vector, c.clustering_distance_threshold)
-        lists.drop("distance").repartition("user_id", "centroid_id").sortWithinPartitions("user_id", "centroid_id").write.parquet(f"{at}/postings")
+        lists = lists.drop("distance")
+        if c.quantization == "pq":
+            pq = ProductQuantiser.train(docs, c.pq_subvector, c.pq_bits, c.pq_training_rows)
+            self.files.write_json(f"{at}/codebook.json", pq.codebook.tolist())
+            lists = lists.withColumn("code", pq.quantise("vector")).drop("vector")
+        lists.repartitionByRange("user_id", "centroid_id", "doc_id").sortWithinPartitions("user_id", "centroid_id").write.parquet(f"{at}/postings")
         return {"name": name, "docs": stats.n, "first": stats.a, "last": stats.b, "bytes": self.files.size(at)}
 
     def flush(self) -> str:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from lodestone.operators.filters import Contains, NotContains
@@ -140,3 +141,43 @@ def test_shard_directory(spark, tmp_path):
     assert d.shards("a") == [("a--0", 1, "h1", 90), ("a--1", 2, "h2", 91)]
     with pytest.raises(NotFound):
         d.shards("b")
+
+
+def test_product_codes_in_the_lists(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = {i: [float(np.float32(v)) for v in rng.normal(size=4)] for i in range(60)}
+    rows = [(i % 2, i, v, {}) for i, v in x.items()]
+    c = Collection.create(spark, f"{tmp_path}/pq", config(quantization="pq", pq_subvector=2, pq_bits=3))
+    for part in (rows[:40], rows[40:]):
+        c.insert(spark.createDataFrame(part, SCHEMA))
+        c.flush()
+    c.remove([0], [4])
+    for _ in range(2):
+        s, want = c.snapshot(), []
+        for r in s.docs().collect():
+            pq = c.quantiser(r.segment)
+            a, b = ([pq.codebook[i, j] for i, j in enumerate(pq.encode_array(np.array([v]))[0])] for v in (r.vector, Q))
+            want.append((sum(float(((p - q) ** 2).sum()) for p, q in zip(a, b)), r.doc_id))
+        got = [(r.score, r.doc_id) for r in s.probe_search(Q, 60, [0, 1], probes=60, ratio=None).collect()]
+        assert len(got) == 59 and "vector" not in spark.read.parquet(f"{c.root}/segments/{s.segments[0]}/postings").columns
+        assert sorted(d for _, d in got) == sorted(d for _, d in want)
+        assert [p for p, _ in got] == pytest.approx(sorted(p for p, _ in want))
+        c.merge(list(s.segments)) if len(s.segments) > 1 else None  # codes are trained again on the merged segment
+    with pytest.raises(ValueError):
+        config(quantization="other")
+    with pytest.raises(ValueError):
+        config(quantization="pq", pq_subvector=3)
+
+
+def test_packed_rows(spark, tmp_path):
+    schema = "user_ids array<long>, doc_ids array<long>, vectors binary"
+    c = Collection.create(spark, f"{tmp_path}/packed", config())
+    raw = bytearray(np.array([r[2] for r in THREE], "<f4").tobytes())
+    c.insert_packed(spark.createDataFrame([([0, 7], [1, 2, 3], raw), ([7], [], bytearray())], schema))
+    c.flush()
+    got = {(r.user_id, r.doc_id, tuple(r.vector)) for r in c.snapshot().docs().collect()}
+    assert got == {(u, d, tuple(v)) for u in (0, 7) for _, d, v, _ in THREE}
+    with pytest.raises(Exception, match="a vector and a map"):
+        c.insert_packed(spark.createDataFrame([([0], [1, 2], raw)], schema))
+    c.remove_rows(spark.createDataFrame([(7, 1), (7, 99)], "user_id long, doc_id long"))
+    assert c.snapshot().docs().count() == 5
