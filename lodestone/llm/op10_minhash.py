@@ -1,17 +1,21 @@
-"""Near-dedup by a containment ensemble of MinHash indexes.
+"""Near-dedup by a containment ensemble of MinHash indexes, and an exact index for what it misses.
 
 Two documents are near copies if the smaller one's set of word 5-grams lies in the larger one's to
-`containment` or more, and the larger has at most `ratio` times as many. (A short document inside a
-far longer one shares a passage with it; that is op8's matter, and the README says why bands can't find it.) Groups are the connected components.
+`containment` or more, and the larger has at most `ratio` times as many. Groups are the connected components. A document that lies in one
+of more than `ratio` times its size to `containment` or more is held by it. That has a direction and joins no groups: else all texts that share
+a short passage would be one group through it. Of those that hold a document the largest is named.
 
 1. Documents with the very same set collapse into the one of lowest id.
-2. The rest are partitioned by set size, in powers of `ratio`, so that partners lie in the same or the next
+2. The rest are partitioned by set size, in powers of `ratio`, so that near copies lie in the same or the next
    partition. For a query of at least q shingles and a partition of at most u, containment t is a Jaccard index of
    t / (u / q + 1 - t) or more. `tune` turns each such bound into its own bands and rows. A document
-   enters the index of its partition and of the pair with the next one, and queries the next.
-3. Exact checks, first of each bucket's members against one of them; then, of the pairs of a
-   bucket that aren't in one group yet, all whose signatures don't rule it out. A pair already in a group would change nothing,
-   so no bucket, however large, needs a cap, and groups of copies cost only their size.
+   enters the index of its partition and of the pair with the next one, and queries the next. Each bucket's members are checked
+   against one of them. This finds most groups at little cost, but no bands find every pair.
+3. `shared` counts in how many rows each shingle stands. A document of n shingles can lie in another only if t n of
+   them stand elsewhere too, and then one of its rarest r - t n + 1 of those r is among the other's. By these probes documents meet
+   all others, of whatever size. Left out are pairs within one group, which would change nothing, so groups of copies cost only their size.
+   The largest document of a probe's list is tried first as the one that holds it; the others only if that fails.
+4. Every pair is checked by intersecting the sets. So the result is that of comparing all pairs, but for shingles being 40-bit hashes.
 
 Defined results: words are runs without ASCII white space, ASCII letters without case; a text of
 fewer than 5 words is one shingle; one without words (null, empty) or without an id is no copy of anything;
@@ -33,6 +37,8 @@ from lodestone.llm.names import col
 from lodestone.llm.scratch import Scratch
 
 SHINGLE, CONTAINMENT, RATIO, PERMUTATIONS, RECALL = 5, 0.6, 1.5, 64, 0.9
+#: Of a shingle's 40 bits, those that stay within one of the buckets that count them; characters of text that are sorted together.
+LOW, BUCKETS, SORTED = 29, 1 << 11, 4 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -81,6 +87,11 @@ def shingles(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray,
     return key & ((np.uint64(1) << low) - np.uint64(1)), np.searchsorted(owner, np.arange(len(n) + 1))
 
 
+def set_hashes(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each text's whole set (texts without shingles aren't allowed)."""
+    return np.add.reduceat(A.mix(x), first[:-1]).view(np.int64)
+
+
 def signatures(x: np.ndarray, first: np.ndarray, permutations: int) -> np.ndarray:
     """MinHash values (a row for each text; texts without shingles aren't allowed)."""
     rng = np.random.default_rng(20)
@@ -103,7 +114,7 @@ def _band_keys(sig: np.ndarray, p: int, step: int, bands: int, rows: int) -> np.
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, containment: float, ratio: float, permutations: int) -> DataFrame:
-    """doc_id, n, set (a hash of the whole set), sig (a byte of each value), and keys by role: both, small, large."""
+    """doc_id, n, set (a hash of the whole set), and keys by role: both, small, large."""
     edges = bounds(ratio)
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -127,47 +138,145 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, containment:
                         found = _band_keys(sig[here], at, step, *tune(index_threshold(at, step, edges, containment, ratio), permutations))
                     for k, row in zip(here.tolist(), found.view(np.int64)):
                         keys[role][k] = row
-            whole = np.add.reduceat(A.mix(x), begin[:-1]).view(np.int64)
-            low = (sig & np.uint32(255)).astype(np.uint8)
+            whole = set_hashes(x, begin)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(i, j - i).take(pa.array(some)), pa.array(n), pa.array(whole), pa.array([r.tobytes() for r in low], pa.binary()), *(pa.array(k, pa.list_(pa.int64())) for k in keys)],
-                ["doc_id", "n", "set", "sig", "both", "small", "large"],
+                [b.column(0).slice(i, j - i).take(pa.array(some)), pa.array(n), pa.array(whole), *(pa.array(k, pa.list_(pa.int64())) for k in keys)],
+                ["doc_id", "n", "set", "both", "small", "large"],
             )
 
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    return A.map_batches(rows, run, "doc_id long, n long, set long, sig binary, both array<long>, small array<long>, large array<long>")
+    return A.map_batches(rows, run, "doc_id long, n long, set long, both array<long>, small array<long>, large array<long>")
 
 
-def sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id and its shingles' hashes as bytes, in ascending order."""
+def _packed(h: np.ndarray) -> bytes:
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
-    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+
+def _unpacked(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def shared(docs: DataFrame, id_col: str, text_col: str, size: int, containment: float) -> DataFrame:
+    """doc_id, n, set, items (those of its shingles that stand in other rows too, ascending) and probes, for rows with any.
+
+    Each batch's shingles are sorted and cut into buckets, each bucket of all batches is counted, and what is repeated goes back to its batch.
+    """
+
+    def spread(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, off = A.utf8(b.column(1))
-        for i, j in A.chunks(off):
+        for i, j in ((k, min(k + (1 << 16), j)) for i, j in A.chunks(off, SORTED) for k in range(i, j, 1 << 16)):
             x, first = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
-            v = A.mix(x).astype(np.uint32)
-            out = [np.sort(v[a:e]).tobytes() for a, e in zip(first[:-1].tolist(), first[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(out, pa.binary())], ["doc_id", "items"])
+            n = np.diff(first)
+            some = np.flatnonzero(n)
+            if not len(some):
+                continue
+            ids = b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)[some]
+            n, begin = n[some], np.append(first[:-1][some], first[-1])
+            whole = set_hashes(x, begin)
+            # of the contents, so that a task that runs again gives the same name
+            place = A.mix(np.arange(1, len(some) + 1, dtype=np.uint64))
+            chunk = int(A.mix(ids.view(np.uint64) * A.BASE + A.mix(whole.view(np.uint64) + place)).sum().astype(np.int64))
+            order = np.argsort(x)
+            x, who = x[order], np.repeat(np.arange(len(some), dtype="<u2"), n)[order]
+            cut = np.searchsorted(x, np.arange(BUCKETS + 1, dtype=np.uint64) << np.uint64(LOW))
+            planes = (x & np.uint64((1 << LOW) - 1)).astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
+            full = np.flatnonzero(np.diff(cut)).tolist()
+            cut = cut.tolist()
+            bucket = [*full, BUCKETS + chunk % BUCKETS]
+            low = [*(planes[:, cut[k] : cut[k + 1]].tobytes() for k in full), np.stack((ids, n, whole)).astype("<i8").tobytes()]
+            owner = [*(who[cut[k] : cut[k + 1]].tobytes() for k in full), b""]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([chunk] * len(bucket), pa.int64()), pa.array(low, pa.binary()), pa.array(owner, pa.binary())], ["bucket", "chunk", "low", "owner"])
+
+    def count(t: pa.Table) -> pa.Table:
+        low, owner, chunks = t["low"].to_pylist(), t["owner"].to_pylist(), t["chunk"].to_pylist()
+        bucket = t["bucket"][0].as_py()
+        if bucket >= BUCKETS:  # ids, sizes and hashes of batches
+            out = [(chunk, a, b"", b"") for chunk, a in zip(chunks, low)]
+        else:
+            parts = [np.frombuffer(b, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for b in low]
+            v = np.concatenate(parts)
+            order = np.argsort(v, kind="stable")
+            run = v[order]
+            run = np.diff(np.append(np.flatnonzero(np.append(True, run[1:] != run[:-1])), len(run)))
+            often = np.empty(len(v), np.int64)
+            often[order] = np.repeat(run, run)
+            out, at = [], 0
+            for chunk, part, who in zip(chunks, parts, owner):
+                n = often[at : at + len(part)]
+                at += len(part)
+                more = n > 1
+                if more.any():
+                    out.append((chunk, part[more].tobytes(), np.frombuffer(who, "<u2")[more].tobytes(), np.minimum(n[more], 65535).astype("<u2").tobytes()))
+        columns = [pa.array([row[k] for row in out], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
+        return pa.Table.from_arrays([pa.array([bucket] * len(out), pa.int32()), *columns], ["bucket", "chunk", "low", "owner", "often"])
+
+    def gather(t: pa.Table) -> pa.Table:
+        bucket, low = t["bucket"].to_pylist(), t["low"].to_pylist()
+        ids, n, whole = np.frombuffer(next(b for k, b in zip(bucket, low) if k >= BUCKETS), "<i8").reshape(3, -1)
+        parts = [(np.frombuffer(b, "<u4").astype(np.uint64) | np.uint64(k << LOW)) for k, b in zip(bucket, low) if k < BUCKETS]
+        h = np.concatenate([np.zeros(0, np.uint64), *parts])
+        who, often = (np.frombuffer(b"".join(t[c].to_pylist()), "<u2") for c in ("owner", "often"))
+        order = np.lexsort((h, who))
+        h, who, often = h[order], who[order], often[order]
+        own = np.append(True, (h[1:] != h[:-1]) | (who[1:] != who[:-1]))[: len(h)]  # two batches of the same contents have one name
+        h, who, often = h[own], who[own], often[own]
+        some, first, r = np.unique(who, return_index=True, return_counts=True)
+        m = np.maximum(r - np.ceil(containment * n[some]).astype(np.int64) + 1, 0)
+        rare = np.lexsort((h, often, who))
+        probes = h[rare][np.arange(len(h)) - np.repeat(first, r) < np.repeat(m, r)]
+        items, probes, ends, to = _packed(h), _packed(probes), (np.append(first, len(h)) * 5).tolist(), (np.append(0, np.cumsum(m)) * 5).tolist()
+        cut = lambda b, at: pa.array([b[i:j] for i, j in zip(at[:-1], at[1:])], pa.binary())
+        return pa.Table.from_arrays([*(pa.array(v[some], pa.int64()) for v in (ids, n, whole)), cut(items, ends), cut(probes, to)], ["doc_id", "n", "set", "items", "probes"])
 
-    return A.map_batches(docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")), run, "doc_id long, items binary")
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
+    counted = A.map_batches(rows, spread, "bucket int, chunk long, low binary, owner binary").groupBy("bucket").applyInArrow(count, "bucket int, chunk long, low binary, owner binary, often binary")
+    return counted.groupBy("chunk").applyInArrow(gather, "doc_id long, n long, set long, items binary, probes binary")
 
 
-def verified(pairs: DataFrame, items: DataFrame, containment: float, ratio: float) -> DataFrame:
-    """The pairs (a, b) whose sets fulfil the definition, by intersecting them."""
-    both = pairs.join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
+def entries(items: DataFrame, ratio: float, only: bool = False) -> DataFrame:
+    """h (a shingle), doc_id, n, part (its partition by size) and whether it probes with h; or only the h of probes."""
+    edges = bounds(ratio)
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        probes = b.column(3).to_pylist()
+        p = _unpacked(b"".join(probes))
+        if only:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(p).astype(np.int64))], ["h"])
+            return
+        items = b.column(2).to_pylist()
+        ids, n = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        h, rows = _unpacked(b"".join(items)), np.arange(len(n), dtype=np.uint64) << np.uint64(40)
+        count = np.array([len(x) // 5 for x in items], np.int64)
+        probing = np.zeros(len(h), bool)
+        probing[np.searchsorted(h + np.repeat(rows, count), p + np.repeat(rows, [len(x) // 5 for x in probes]))] = True
+        part = np.searchsorted(edges, n, "right").astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), *(pa.array(np.repeat(v, count)) for v in (ids, n, part)), pa.array(probing)], ["h", "doc_id", "n", "part", "probe"])
+
+    return A.map_batches(items.select("doc_id", "n", "items", "probes"), run, "h long" if only else "h long, doc_id long, n long, part int, probe boolean")
+
+
+def verified(pairs: DataFrame, items: DataFrame, containment: float, ratio: float, across: bool = False) -> DataFrame:
+    """The pairs (a, b) whose sets fulfil the definition of near copies, or those of which b holds a, by intersecting them; and b's size."""
+    both = pairs.select("a", "b").join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("x"), F.col("n").alias("m")), "a")
+    both = both.join(items.select(F.col("doc_id").alias("b"), F.col("items").alias("y"), "n"), "b").select("a", "b", "x", "y", "m", "n")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         good = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            good.append(len(y) <= ratio * len(x) and int((y[at] == x).sum()) >= containment * len(x))
+        for x, y, m, n in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+            if not across and m > n:
+                x, y, m, n = y, x, n, m
+            fit = min(len(x), len(y)) // 5 >= containment * m and (n > ratio * m if across else n <= ratio * m)
+            if fit:
+                x, y = _unpacked(x), _unpacked(y)
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                fit = int((y[at] == x).sum()) >= containment * m
+            good.append(fit)
         keep = pa.array(np.flatnonzero(good))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(k).take(keep) for k in (0, 1, 5)], ["a", "b", "n"])
 
-    return A.map_batches(both, run, "a long, b long")
+    return A.map_batches(both, run, "a long, b long, n long")
 
 
 def components(edges: DataFrame, disk: Scratch, name: str) -> DataFrame:
@@ -189,61 +298,89 @@ def components(edges: DataFrame, disk: Scratch, name: str) -> DataFrame:
             return labels
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, containment: float = CONTAINMENT, ratio: float = RATIO, permutations: int = PERMUTATIONS) -> DataFrame:
-    """doc_id and group_id, the lowest id of its group, for every document of a group of two or more."""
+def _written(disk: Scratch, df: DataFrame, name: str) -> DataFrame:
+    """Keeps df, and frees at once the disk of what was shuffled for it."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return disk.keep(df, name)
+    finally:
+        conf.set(key, before)
+
+
+def met(hot: DataFrame, groups: DataFrame, ratio: float) -> DataFrame:
+    """The pairs (a, b) of no one group and fitting sizes of which the smaller probes with a shingle of the larger."""
+    labelled = hot.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id"))
+    mixed = labelled.groupBy("h").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 <> g1").select("h")
+    labelled = labelled.join(mixed, "h", "left_semi")
+    small = labelled.filter("probe").select("h", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("group").alias("gx"))
+    large = labelled.select("h", "part", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("group").alias("gy"))
+    pairs = small.join(large, ["h", "part"]).filter((F.col("gx") != F.col("gy")) & (F.col("ny") >= F.col("nx")) & (F.col("ny") <= ratio * F.col("nx")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def holders(hot: DataFrame, items: DataFrame, containment: float, ratio: float, disk: Scratch) -> DataFrame:
+    """rep and container_id, the largest document that holds it, of those in hot."""
+    size = F.struct("n", F.bitwise_not("doc_id").alias("other"))  # of equal sizes the lowest id
+    top = hot.groupBy("h").agg(F.max(size).alias("top"))
+    probes = hot.filter("probe").select("h", F.col("doc_id").alias("a"), F.col("n").alias("na"))
+    best = probes.join(top, "h").filter(F.col("top.n") > ratio * F.col("na")).groupBy("a").agg(F.max("top").alias("top"))
+    best = _written(disk, best.select("a", F.bitwise_not("top.other").alias("b")), "largest")
+    good = _written(disk, verified(best.filter("a <> b"), items, containment, ratio, True), "held")
+    # what the largest doesn't hold is compared with all it meets
+    left = probes.join(best.join(good, "a", "left_anti").select("a"), "a", "left_semi")
+    pairs = left.join(hot.select("h", F.col("doc_id").alias("b"), "n"), "h").filter((F.col("n") > ratio * F.col("na")) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+    found = good.unionAll(verified(pairs, items, containment, ratio, True)).groupBy("a").agg(F.max(F.struct("n", F.bitwise_not("b").alias("other"))).alias("top"))
+    return found.select(F.col("a").alias("rep"), F.bitwise_not("top.other").alias("container_id"))
+
+
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, containment: float = CONTAINMENT, ratio: float = RATIO, permutations: int = PERMUTATIONS, held: str | None = "all") -> DataFrame:
+    """doc_id, group_id (the lowest id of its group, or its own) and container_id (the largest document that holds it, or null), for every document
+    of a group of two or more and every one that is held. With held="firsts" only each group's document of lowest id may hold or be held; with None none is."""
     disk = Scratch(docs.sparkSession)
-    sketches = disk.keep(sketch(docs, id_col, text_col, size, containment, ratio, permutations), "sketches")
+    sketches = _written(disk, sketch(docs, id_col, text_col, size, containment, ratio, permutations), "sketches")
     same = sketches.groupBy("set", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-    reps = sketches.join(same.select("set", "n", F.col("rep").alias("doc_id")), ["set", "n", "doc_id"], "left_semi")
-    entries = [reps.select("doc_id", F.lit(role).alias("role"), F.explode(c).alias("key")) for role, c in ((0, "both"), (1, "small"), (2, "large"))]
-    entered = entries[0].unionAll(entries[1]).unionAll(entries[2])
+    single = same.select("set", "n", F.col("rep").alias("doc_id"))
+    items = _written(disk, shared(docs, id_col, text_col, size, containment).join(single, ["set", "n", "doc_id"], "left_semi"), "items")
+    reps = sketches.join(single, ["set", "n", "doc_id"], "left_semi")
+    keyed = [reps.select("doc_id", F.lit(role).alias("role"), F.explode(c).alias("key")) for role, c in ((0, "both"), (1, "small"), (2, "large"))]
+    entered = keyed[0].unionAll(keyed[1]).unionAll(keyed[2])
     # the members to check a bucket's others against, by an aggregate that is combined before the shuffle: a hot bucket meets in no one task
     buckets = entered.groupBy("key").agg(
         F.min(F.when(F.col("role") != 1, F.col("doc_id"))).alias("first"), F.min(F.when(F.col("role") == 1, F.col("doc_id"))).alias("first_small"), F.max(F.when(F.col("role") == 0, F.col("doc_id"))).alias("last")
     )
     buckets = buckets.filter("first <> last OR first IS NOT NULL AND first_small IS NOT NULL").select("key", "first", "first_small")
-    members = disk.keep(entered.join(buckets, "key").select("key", "doc_id", "role", "first", "first_small"), "members")
-    involved = members.select("doc_id").distinct()
-    items = disk.keep(sets(docs.join(involved.withColumnRenamed("doc_id", id_col), id_col, "left_semi"), id_col, text_col, size), "sets")
-    star = members.select(F.col("doc_id").alias("x"), F.when(F.col("role") == 2, F.col("first_small")).otherwise(F.col("first")).alias("y"))
-    ordered = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    first = disk.keep(verified(star.filter("x <> y").select(*ordered).distinct(), items, containment, ratio), "first")
+    star = entered.join(buckets, "key").select(F.col("doc_id").alias("x"), F.when(F.col("role") == 2, F.col("first_small")).otherwise(F.col("first")).alias("y"))
+    star = star.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    first = _written(disk, verified(star, items, containment, ratio).select("a", "b"), "first")
     groups = components(first, disk, "groups-first")
-    # the pairs of a bucket that no group holds yet
-    labelled = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "role", F.coalesce("group", "doc_id").alias("group"))
-    mixed = labelled.groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 <> g1").select("key")
-    labelled = labelled.join(mixed, "key", "left_semi")
-    left = labelled.filter("role <> 2").select("key", F.col("doc_id").alias("x"), F.col("group").alias("gx"), F.col("role").alias("rx"))
-    right = labelled.filter("role <> 1").select("key", F.col("doc_id").alias("y"), F.col("group").alias("gy"), F.col("role").alias("ry"))
-    apart = left.join(right, "key").filter("gx <> gy AND (rx = 1 AND ry = 2 OR rx = 0 AND ry = 0 AND x < y)").select(*ordered).distinct()
-    known = reps.select("doc_id", "n", "sig")
-    apart = apart.join(known.toDF("a", "na", "sa"), "a").join(known.toDF("b", "nb", "sb"), "b").filter(F.greatest("na", "nb") <= ratio * F.least("na", "nb"))
-    second = verified(possible(apart, containment, permutations), items, containment, ratio)
-    merged = disk.keep(first.union(second), "edges")
+    # what no band found: whoever meets by a shingle and is in no one group yet
+    hot = _written(disk, entries(items, ratio).join(entries(items, ratio, only=True).distinct(), "h", "left_semi"), "hot")
+    second = verified(met(hot, groups, ratio), items, containment, ratio).select("a", "b")
+    merged = _written(disk, first.union(second), "edges")
     groups = components(merged, disk, "groups")
-    disk.drop("members", "sets", "first", "edges")
     # copies of the very same set join their representative's group
     copies = sketches.select("doc_id", "set", "n").join(same, ["set", "n"]).select("doc_id", "rep", (F.col("rep") != F.col("last")).alias("copied"))
-    out = copies.join(groups.withColumnRenamed("node", "rep"), "rep", "left").filter("copied OR group IS NOT NULL").groupBy("doc_id").agg(F.min(F.coalesce("group", "rep")).alias("group_id"))
-    return out
-
-
-def possible(pairs: DataFrame, containment: float, permutations: int) -> DataFrame:
-    """Leaves out pairs whose signatures agree so rarely that the bound on their Jaccard index lies 4 standard errors above."""
-
-    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        na, nb = b.column(2).to_numpy(zero_copy_only=False), b.column(4).to_numpy(zero_copy_only=False)
-        sa, sb = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, permutations) for c in (b.column(3), b.column(5)))
-        least = containment / (np.maximum(na, nb) / np.minimum(na, nb) + 1 - containment)
-        keep = pa.array(np.flatnonzero((sa == sb).mean(1) >= least - 4 * np.sqrt(least * (1 - least) / permutations)))
-        yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], ["a", "b"])
-
-    return A.map_batches(pairs.select("a", "b", "na", "sa", "nb", "sb"), run, "a long, b long")
+    out = copies.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    if held is None:
+        out = out.withColumn("container_id", F.lit(None).cast("long"))
+    else:
+        among = hot.join(groups.filter("node <> group").select(F.col("node").alias("doc_id")), "doc_id", "left_anti") if held == "firsts" else hot
+        out = out.join(_written(disk, holders(among, items, containment, ratio, disk), "holders"), "rep", "left")
+    disk.drop("items", "hot", "first", "edges", "groups-first")
+    out = out.filter("copied OR group IS NOT NULL OR container_id IS NOT NULL").groupBy("doc_id")
+    return out.agg(F.min(F.coalesce("group", "rep")).alias("group_id"), F.max("container_id").alias("container_id"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id and group_id, the lowest id of its group, for every document of a group of two or more."""
+    return duplicates(docs, id_col, text_col, held=None, **options).select("doc_id", "group_id")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that has a near copy, with its group."""
-    return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Every document that has a near copy or is held by a larger one, with its group and the largest that holds it."""
+    return duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES = {"op10_minhash_near_dedup": op10_minhash_near_dedup}
