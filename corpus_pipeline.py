@@ -3,7 +3,8 @@
 1. toxicity: documents that score as toxic go, by the lexicon with what the labels beside the documents teach.
 2. line dedup: lines of more than 10 documents go, where a group of near copies counts as one document. A document
    that would lose all its lines stays. Near-dedup decides on copies.
-3. MinHash near-dedup: of each group of near copies the document of lowest id stays. Documents
+3. MinHash near-dedup: of each group of near copies the document of lowest id stays, unless one of those of other groups holds it:
+   then the larger stays. No two documents that stay meet the threshold, of whatever sizes. Documents
    without an id or without words are no copies.
 4. mixing: documents in the order of the slots that the target weights give to their sources; what a source has
    beyond its weight stays out.
@@ -25,7 +26,7 @@ from lodestone.llm.op02_sentencepiece import encode
 from lodestone.llm.op03_toxicity import THRESHOLD, lexicon_of, scores
 from lodestone.llm.op04_line_dedup import line_dedup
 from lodestone.llm.op09_mixing import mix
-from lodestone.llm.op10_minhash import near_copies
+from lodestone.llm.op10_minhash import duplicates, near_copies
 from lodestone.llm.scratch import Scratch
 
 
@@ -43,7 +44,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     (gone,) = fresh(docs, "gone")
-    copies = near_copies(docs).filter("doc_id <> group_id").select(F.col("doc_id").alias(gone))
+    copies = duplicates(docs, held="firsts").filter("doc_id <> group_id OR container_id IS NOT NULL").select(F.col("doc_id").alias(gone))
     return docs.join(copies, F.col("doc_id") == F.col(gone), "left_anti")
 
 

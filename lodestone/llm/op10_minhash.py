@@ -167,8 +167,10 @@ def shared(docs: DataFrame, id_col: str, text_col: str, size: int, containment:
     def spread(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, off = A.utf8(b.column(1))
         for i, j in ((k, min(k + (1 << 16), j)) for i, j in A.chunks(off, SORTED) for k in range(i, j, 1 << 16)):
-            x, first = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
-            n = np.diff(first)
+            part = off[i : j + 1] - off[i]
+            parts = [shingles(data[off[i + k] : off[i + e]], part[k : e + 1] - part[k], size) for k, e in A.chunks(part)]
+            x, n = np.concatenate([v for v, _ in parts]), np.concatenate([np.diff(v) for _, v in parts])
+            first = np.append(0, np.cumsum(n))
             some = np.flatnonzero(n)
             if not len(some):
                 continue
@@ -209,6 +211,7 @@ def shared(docs: DataFrame, id_col: str, text_col: str, size: int, containment:
                 more = n > 1
                 if more.any():
                     out.append((chunk, part[more].tobytes(), np.frombuffer(who, "<u2")[more].tobytes(), np.minimum(n[more], 65535).astype("<u2").tobytes()))
+        pa.default_memory_pool().release_unused()
         columns = [pa.array([row[k] for row in out], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
         return pa.Table.from_arrays([pa.array([bucket] * len(out), pa.int32()), *columns], ["bucket", "chunk", "low", "owner", "often"])
 
@@ -226,6 +229,7 @@ def shared(docs: DataFrame, id_col: str, text_col: str, size: int, containment:
         m = np.maximum(r - np.ceil(containment * n[some]).astype(np.int64) + 1, 0)
         rare = np.lexsort((h, often, who))
         probes = h[rare][np.arange(len(h)) - np.repeat(first, r) < np.repeat(m, r)]
+        pa.default_memory_pool().release_unused()
         items, probes, ends, to = _packed(h), _packed(probes), (np.append(first, len(h)) * 5).tolist(), (np.append(0, np.cumsum(m)) * 5).tolist()
         cut = lambda b, at: pa.array([b[i:j] for i, j in zip(at[:-1], at[1:])], pa.binary())
         return pa.Table.from_arrays([*(pa.array(v[some], pa.int64()) for v in (ids, n, whole)), cut(items, ends), cut(probes, to)], ["doc_id", "n", "set", "items", "probes"])
@@ -321,7 +325,7 @@ def met(hot: DataFrame, groups: DataFrame, ratio: float) -> DataFrame:
 
 
 def holders(hot: DataFrame, items: DataFrame, containment: float, ratio: float, disk: Scratch) -> DataFrame:
-    """rep and container_id, the largest document that holds it, of those in hot."""
+    """rep and top, the size and id (its bits inverted) of the largest document that holds it, of those in hot."""
     size = F.struct("n", F.bitwise_not("doc_id").alias("other"))  # of equal sizes the lowest id
     top = hot.groupBy("h").agg(F.max(size).alias("top"))
     probes = hot.filter("probe").select("h", F.col("doc_id").alias("a"), F.col("n").alias("na"))
@@ -332,7 +336,7 @@ def holders(hot: DataFrame, items: DataFrame, containment: float, ratio: float,
     left = probes.join(best.join(good, "a", "left_anti").select("a"), "a", "left_semi")
     pairs = left.join(hot.select("h", F.col("doc_id").alias("b"), "n"), "h").filter((F.col("n") > ratio * F.col("na")) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
     found = good.unionAll(verified(pairs, items, containment, ratio, True)).groupBy("a").agg(F.max(F.struct("n", F.bitwise_not("b").alias("other"))).alias("top"))
-    return found.select(F.col("a").alias("rep"), F.bitwise_not("top.other").alias("container_id"))
+    return found.select(F.col("a").alias("rep"), "top")
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, containment: float = CONTAINMENT, ratio: float = RATIO, permutations: int = PERMUTATIONS, held: str | None = "all") -> DataFrame:
@@ -358,19 +362,22 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # what no band found: whoever meets by a shingle and is in no one group yet
     hot = _written(disk, entries(items, ratio).join(entries(items, ratio, only=True).distinct(), "h", "left_semi"), "hot")
     second = verified(met(hot, groups, ratio), items, containment, ratio).select("a", "b")
-    merged = _written(disk, first.union(second), "edges")
-    groups = components(merged, disk, "groups")
-    # copies of the very same set join their representative's group
+    # copies of the very same set join their representative's group; an id with several sets joins the groups of all
     copies = sketches.select("doc_id", "set", "n").join(same, ["set", "n"]).select("doc_id", "rep", (F.col("rep") != F.col("last")).alias("copied"))
+    several = copies.groupBy("doc_id").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).filter("r0 <> r1").select("doc_id")
+    joined = copies.filter("doc_id <> rep").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    merged = _written(disk, first.union(second).union(joined), "edges")
+    groups = components(merged, disk, "groups")
     out = copies.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     if held is None:
-        out = out.withColumn("container_id", F.lit(None).cast("long"))
+        out = out.withColumn("top", F.lit(None).cast("struct<n: long, other: long>"))
     else:
         among = hot.join(groups.filter("node <> group").select(F.col("node").alias("doc_id")), "doc_id", "left_anti") if held == "firsts" else hot
         out = out.join(_written(disk, holders(among, items, containment, ratio, disk), "holders"), "rep", "left")
     disk.drop("items", "hot", "first", "edges", "groups-first")
-    out = out.filter("copied OR group IS NOT NULL OR container_id IS NOT NULL").groupBy("doc_id")
-    return out.agg(F.min(F.coalesce("group", "rep")).alias("group_id"), F.max("container_id").alias("container_id"))
+    top = F.max(F.when(F.bitwise_not("top.other") != F.col("doc_id"), F.col("top"))).alias("top")
+    out = out.filter("copied OR group IS NOT NULL OR top IS NOT NULL").groupBy("doc_id").agg(F.min(F.coalesce("group", "rep")).alias("group_id"), top)
+    return out.select("doc_id", "group_id", F.bitwise_not("top.other").alias("container_id"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

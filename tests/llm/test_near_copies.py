@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import brute
+import corpus_pipeline
 import pytest
 from lodestone.llm import op10_minhash as mh
 
@@ -93,3 +94,37 @@ def test_of_documents(spark, documents, awkward, empty):
     for df in (documents, awkward):
         assert found(df) == expected([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
     assert found(empty) == {}
+
+
+def test_no_two_documents_that_stay_meet_the_threshold(spark, barely):
+    """Of a group the lowest id stays, of a text and one that holds it the larger; a group of which others hold members stays."""
+    rng, texts = random.Random(6), [t for _, t in barely]
+    x, y, z = text(rng, 60), text(rng, 100), text(rng, 70)
+    nested = [x, x + text(rng, 60), x + text(rng, 2000), x + ["end"]]
+    # the group of y reaches by steps of ratio 1.4 a text that holds its first, which is no holder from another group
+    steps = [y, y + (more := text(rng, 38)), y + more + text(rng, 50)]
+    # only a later member of the group of z is held, its first isn't
+    later = [z, z[:50] + (own := text(rng, 32)), z[:15] + text(rng, 40) + z[15:50] + own + text(rng, 200)]
+    texts += [" ".join(t) for t in nested + steps + later]
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id: brute.shingle_set(r.text) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    group = brute.near_groups(docs)
+    firsts = {i: brute.shingle_set(t) for i, t in docs if group.get(i, i) == i}
+    holds = lambda a, b: len(b) > mh.RATIO * len(a) and len(a & b) >= mh.CONTAINMENT * len(a)
+    assert set(kept) == {i for i, a in firsts.items() if not any(holds(a, b) for b in firsts.values())}
+    assert not any(i != j and len(a) <= len(b) and len(a & b) >= mh.CONTAINMENT * len(a) for i, a in kept.items() for j, b in kept.items())
+    n = len(barely)
+    assert n + 2 in kept and n not in kept and n + 4 in kept and n + 5 not in kept and n + 6 not in kept
+
+
+def test_an_id_with_several_texts_joins_the_groups_of_all(spark):
+    """And holds nothing if it goes, so what only it holds stays."""
+    rng = random.Random(8)
+    a, b, c = text(rng, 80), text(rng, 150), text(rng, 60)
+    docs = [(1, a), (2, a), (2, b + c), (3, b + c + ["end"]), (4, c), (5, text(rng, 30))]
+    docs = [(i, " ".join(t)) for i, t in docs]
+    assert mh.near_copies(table(spark, docs)).count() == 3
+    assert {i: g for i, (g, _) in found(table(spark, docs)).items() if i != 4} == brute.near_groups(docs) == {1: 1, 2: 1, 3: 1}
+    df = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == {1, 4, 5}
