@@ -206,3 +206,27 @@ def test_log_against_a_model(spark):
 def test_histogram(spark):
     df = spark.createDataFrame([(0.0005,), (0.003,), (5.0,), (None,)], "v double")
     assert [(r.bound, r.n) for r in oplog.histogram(df, "v", 0.001, 2, 3).collect()] == [(0.001, 1), (0.002, 1), (0.004, 2), (None, 3)]
+
+
+@pytest.mark.parametrize("metric", ["l2", "negdot"])
+def test_batch_memory_is_that_of_a_block(spark, metric, monkeypatch):
+    """In blocks of queries, with copies, zeros, NaN and ids of text: the rows of comparing all, and no product of all queries with a batch."""
+    from lodestone.functions import nearest
+
+    monkeypatch.setattr(search, "BLOCK", 100)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal((200, 6)), rng.integers(-1, 2, (200, 6)), np.zeros((20, 6)), np.full((2, 6), np.nan)])
+    x = np.concatenate([x, x[:50]])
+    df = spark.createDataFrame([(f"{i:04}", [float(v) for v in r]) for i, r in enumerate(x)], "doc_id string, vector array<double>")
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in search.top_k_batch(df, df.select(F.col("doc_id").alias("query_id"), "vector"), 7, metric).collect()}
+    assert len(got) == 7 * len(x)
+    for q in range(len(x)):
+        d = np.zeros(len(x))
+        for j in range(6):
+            d += x[q, j] * x[:, j] if metric == "negdot" else (x[q, j] - x[:, j]) ** 2
+        d = -d if metric == "negdot" else np.sqrt(d)
+        want = np.lexsort((np.arange(len(x)), d))[:7]
+        assert [got[f"{q:04}", r][0] for r in range(1, 8)] == [f"{i:04}" for i in want]
+        assert np.array_equal([got[f"{q:04}", r][1] for r in range(1, 8)], d[want], equal_nan=True)
+    near = nearest.Nearest(rng.standard_normal((5000, 4)), 3, metric)
+    assert len(near.parts) == 5 and nearest.ROWS * nearest.COLUMNS * 4 <= 64 << 20
