@@ -230,3 +230,32 @@ def test_batch_memory_is_that_of_a_block(spark, metric, monkeypatch):
         assert np.array_equal([got[f"{q:04}", r][1] for r in range(1, 8)], d[want], equal_nan=True)
     near = nearest.Nearest(rng.standard_normal((5000, 4)), 3, metric)
     assert len(near.parts) == 5 and nearest.ROWS * nearest.COLUMNS * 4 <= 64 << 20
+
+
+def test_lists_meet_queries_in_blocks(spark, monkeypatch):
+    """Lists that many queries probe, in blocks of 100 queries, give what the pairs of a join give."""
+    monkeypatch.setattr(search, "BLOCK", 100)
+    rng = np.random.default_rng(5)
+    df = points(spark, rng.integers(-2, 3, (700, 4)))
+    c = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((4, 4)))], "centroid_id int, centroid array<double>")
+    lists, q = ann.assign(df, c, (), 2, 0.5), df.select(F.col("doc_id").alias("query_id"), "vector")
+    a, b = ({tuple(r) for r in ann.search(q, c, lists, 5, 3, None, many=many).collect()} for many in (True, False))
+    assert a == b and len(a) > 3000
+
+
+def test_centroids_of_documents_that_share_an_id(spark):
+    """Each user's document counts once in the sizes of lists, whoever else has one of its id."""
+    df = points(spark, np.random.default_rng(6).standard_normal((60, 3))).withColumn("doc_id", F.lit(1).cast("long"))
+    assert len(kmeans.build_centroids(df, 2, 60)) == 2
+
+
+def test_labels_are_those_of_all_costs(spark):
+    rng = np.random.default_rng(7)
+    x, c = rng.integers(-2, 3, (3000, 3)).astype(float), rng.integers(-2, 3, (900, 3)).astype(float)
+    sizes = rng.integers(0, 3, 900)
+    cost = kmeans.costs(x, c, sizes, 0.5)
+    got = {r.doc_id: (r.label, r.cost) for r in kmeans.labels(points(spark, x), c, sizes, 0.5).collect()}
+    assert [got[i] for i in range(3000)] == list(zip(cost.argmin(1).tolist(), cost.min(1).tolist()))
+    from lodestone.functions.nearest import nearest_label
+
+    assert np.array_equal(nearest_label(x, c)[0], kmeans.costs(x, c, np.zeros(900), 0.0).argmin(1))
