@@ -28,7 +28,7 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokenize_ws_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = read(spark, sf_dir, "documents").select("doc_id", lower_tokens("text").alias("t"))
-    return words.select("doc_id", F.size("t").alias("n_tokens"), F.get("t", F.lit(0)).alias("first_token"), F.element_at("t", -1).alias("last_token"))
+    return words.select("doc_id", F.size("t").alias("n_tokens"), F.get("t", F.lit(0)).alias("first_token"), F.get("t", F.size("t") - 1).alias("last_token"))
 
 
 def term_index(spark: SparkSession, sf_dir: str) -> DataFrame:

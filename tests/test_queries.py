@@ -59,3 +59,14 @@ def test_every_event_in_order_and_nan_last(spark):
     last = [d for s, d in got if s == -1.0]
     assert len(got) == spark.read.parquet(f"{sf}/events.parquet").count() and last
     assert got[-len(last) :] == [(-1.0, d) for d in sorted(last)] and got[: -len(last)] == sorted(got[: -len(last)])
+
+
+@pytest.mark.parametrize("name", ["tokenize_ws_lower", "term_index", "postings_codec", "term_search_limit", "collection_merged_terms"])
+def test_texts_without_tokens_and_shared_ids(spark, tmp_path, name):
+    """Empty, blank and null texts have no tokens; that is no error. Two documents of one id are one in an index."""
+    rows = [(1, "", "en", "src3", 0), (2, None, "en", "src1", 0), (3, " \t\n ", "de", None, 4), (4, "The of One the", "en", "src3", 14), (5, "x", "fr", "src7", 1)]
+    rows += [] if name in ("tokenize_ws_lower", "collection_merged_terms") else [(4, "the one", "en", "src3", 7), (5, "x", "fr", "src7", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    if name == "tokenize_ws_lower":
+        assert [tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).orderBy("doc_id").collect()] == [(1, 0, None, None), (2, 0, None, None), (3, 0, None, None), (4, 4, "the", "the"), (5, 1, "x", "x")]
+    same(registry.queries()[name](spark, str(tmp_path)), registry.oracle_sql()[name], str(tmp_path))
