@@ -23,11 +23,16 @@ def terms_of(docs: DataFrame, path: str, language: str | Column | None = "none")
 
 
 def postings(docs: DataFrame, paths: Sequence[str], keys: Sequence[str] = ("doc_id",), only: Iterable[str] | None = None) -> DataFrame:
-    """The distinct (keys, term) of docs with `terms_<path>` columns; with `only`, those of these terms."""
+    """The distinct (keys, term) of docs with `terms_<path>` columns; with `only`, those of these terms.
+
+    A document's terms are distinct already, so that only documents that share their keys need a shuffle; the keys alone are read to see.
+    """
     terms = F.concat(*(_named(p) for p in paths))
     if only is not None:
         terms = F.array_intersect(terms, F.array(*map(F.lit, sorted(only))).cast("array<string>"))
-    return docs.select(*keys, F.explode(terms).alias("term")).distinct()
+    rows = docs.select(*keys, F.explode(terms).alias("term"))
+    plain = not any(":" in p for p in paths) and len(set(paths)) == len(paths)
+    return rows if plain and docs.groupBy(*keys).count().filter("count > 1").isEmpty() else rows.distinct()
 
 
 def _named(path: str) -> Column:

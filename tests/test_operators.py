@@ -259,3 +259,13 @@ def test_labels_are_those_of_all_costs(spark):
     from lodestone.functions.nearest import nearest_label
 
     assert np.array_equal(nearest_label(x, c)[0], kmeans.costs(x, c, np.zeros(900), 0.0).argmin(1))
+
+
+def test_postings_shuffle_only_what_shares_its_keys(spark):
+    def index(rows):
+        return postings(terms_of(spark.createDataFrame(rows, "doc_id long, text string"), "text"), ["text"])
+
+    once, twice = index([(1, "a b a"), (2, "a")]), index([(1, "a b a"), (1, "b c")])
+    assert "Aggregate" not in once._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r.term) for r in once.collect()) == [(1, "text:a"), (1, "text:b"), (2, "text:a")]
+    assert sorted((r.doc_id, r.term) for r in twice.collect()) == [(1, "text:a"), (1, "text:b"), (1, "text:c")]
