@@ -143,3 +143,31 @@ def test_columns_are_null_safe(spark):
     df = spark.createDataFrame([(None, None)], "id string, raw binary")
     assert tuple(df.select(ids.to_uuid("id").isNull() | (ids.to_uuid("id") == ""), ids.from_bytes("raw"), unpack_floats("raw")).first())[1:] == (None, None)
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_stems_by_batch():
+    """Each different word of a language is stemmed once, and no list of a batch becomes Python objects."""
+    import pyarrow as pa
+
+    from lodestone.functions.stemmers import stemmer
+    from lodestone.functions.text import stem_lists
+
+    words = [["running", "connections", "running"], None, [], ["einheiten"], ["running", "der"], ["Der"]]
+    languages = ["en", "de", None, "de", None, "none"]
+    got = stem_lists(pa.array(words, pa.list_(pa.string())), pa.array(languages, pa.string()))
+    assert got.to_pylist() == [None if w is None else [stemmer(n)(x) for x in w] for w, n in zip(words, languages)]
+    assert stem_lists(got.slice(3, 2), pa.array(["none", "none"])).to_pylist() == got.to_pylist()[3:5]
+    assert stem_lists(got.slice(0, 0), pa.array([], pa.string())).to_pylist() == []
+
+
+def test_short_lists_have_the_same_code(monkeypatch):
+    from lodestone.functions import codecs
+
+    rng = np.random.default_rng(4)
+    lists = [np.sort(rng.integers(0, 10**int(e), n)).astype(np.uint64) for n in range(1, 17) for e in rng.integers(1, 19, 20)] + [np.array([0], np.uint64), np.array([2**64 - 1], np.uint64)]
+    short = [codecs.encode_elias_fano(v) for v in lists]
+    assert all(np.array_equal(codecs.decode_elias_fano(b), v) and codecs._decode_short(b, len(v), b[8], -(-len(v) * b[8] // 8)).dtype == np.uint64 for b, v in zip(short, lists))
+    with pytest.raises(ValueError):
+        codecs.encode_elias_fano(np.array([2, 1]))
+    monkeypatch.setattr(codecs, "SHORT", 0)
+    assert short == [codecs.encode_elias_fano(v) for v in lists]
