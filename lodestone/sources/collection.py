@@ -31,7 +31,7 @@ from lodestone.functions.distance import l2_squared
 from lodestone.functions.packed import split_vectors, unpack_floats
 from lodestone.functions.quantise import ProductQuantiser
 from lodestone.functions.stemmers import language_name
-from lodestone.functions.text import keyword_terms, text_terms
+from lodestone.functions.text import keyword_terms, lower_tokens, text_terms
 from lodestone.operators import ann, kmeans, search
 from lodestone.operators.filters import Filter, Schema, matches
 from lodestone.sources.files import Files
@@ -255,7 +255,7 @@ class Collection:
             self.files.delete(folder)
             return start, start - 1
         at = self.spark.createDataFrame(offsets, "__part int, __start long")
-        seq = F.row_number().over(Window.partitionBy("__part").orderBy("__row")) - 1 + F.col("__start")
+        seq = F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__start")  # the lower 33 bits count a partition's rows
         rows = stored.join(F.broadcast(at), "__part").withColumn("seq", seq.cast("long"))  # a row for each partition
         kind = self.config.id_type_sql
         rows.select("seq", "op", F.col("user_id").cast(kind), F.col("doc_id").cast(kind), F.col("vector").cast("array<float>"), F.col("attributes").cast("map<string,string>")).write.parquet(f"{self.root}/log/{start}-{start + n - 1}")
@@ -318,10 +318,12 @@ class Collection:
         for name, lang in schema.languages.items():
             language = F.when(F.col("name") == name, F.lit(lang)).otherwise(language)
         is_keyword = F.col("name").isin(list(schema.keywords))
-        words = rows.filter(~is_keyword).withColumn("terms", text_terms("value", language))
-        keys = rows.filter(is_keyword).withColumn("terms", keyword_terms("value"))
+        is_plain = F.col("name").isin([n for n, lang in schema.languages.items() if lang == "none"])
+        words = rows.filter(~is_keyword & ~is_plain).withColumn("terms", text_terms("value", language))
+        keys = rows.filter(is_keyword | is_plain).withColumn("terms", F.when(is_keyword, keyword_terms("value")).otherwise(F.array_distinct(lower_tokens("value"))))
         both = words.unionByName(keys).select("user_id", "doc_id", "seq", "name", F.explode("terms").alias("t"))
-        return both.select("user_id", "doc_id", "seq", F.concat_ws(":", "name", "t").alias("term")).distinct()
+        # distinct as it is: a segment has a document of a user once
+        return both.select("user_id", "doc_id", "seq", F.concat_ws(":", "name", "t").alias("term"))
 
     def _write_segment(self, docs: DataFrame) -> dict | None:
         """Writes docs (user_id, doc_id, vector, attributes, seq) as a segment with its indexes."""
